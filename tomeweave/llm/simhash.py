@@ -65,16 +65,18 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of documents."""
+    """(doc_id, text_hash, fp): one row per row of documents."""
     small_batches(documents.sparkSession)
 
     def scan(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, text_hash long, fp long")
 
 
 def blocks_of(count: int) -> list[int]:
@@ -227,14 +229,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of documents."""
+    """(doc_id, text_hash, fp, component_id) for every row of documents."""
     fps = settle(fingerprints(documents, shingle), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     comp = components(links(classes.select("fp"), radius))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each component, the one of smallest doc_id; columns as they were."""
+    near = settle(near_duplicates(documents, shingle, radius), "near-duplicates")
+    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    kept = documents.join(first.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_semi")
+    if near.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])  # rows that are repeated as a whole
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
