@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontaminate, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_licenses": licenses.op8_licenses,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
