@@ -34,6 +34,12 @@ PIECE = 1 << 16
 FOLDS, FOLD = 5, 0
 
 
+def hashes(text: str | None) -> np.ndarray:
+    """The CRC-32 of each word."""
+    words = words_of((text or "").encode())
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
+
 class Rows(dict):
     """Word to row of the embedding table, 0 if unknown; remembers up to a million words."""
 
@@ -75,12 +81,11 @@ class Convolution:
         self.thresholds: dict[str | None, float] = {}
 
     # --- training ---------------------------------------------------------------------
-    def fit(self, docs: list[list[bytes]], y: np.ndarray, langs: list, least_docs: int = 3, epochs: int = 8, seed: int = 11) -> Convolution:
+    def fit(self, hashed: list[np.ndarray], y: np.ndarray, langs: list, least_docs: int = 3, epochs: int = 8, seed: int = 11) -> Convolution:
         self.prior = float(y.mean()) if len(y) else 0.0
         if not len(y) or y.min() == y.max():
             return self
         rng = np.random.default_rng(seed)
-        hashed = [np.fromiter(map(zlib.crc32, d), np.int64, len(d)) for d in docs]
         kept = np.zeros(len(y), bool)
         if len(y) >= 500:
             kept[::5] = True
@@ -228,8 +233,12 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = 8000) -> Convolu
     """The classifier, learnt from at most `most` labelled documents outside the held-out fold."""
     if "lang" not in documents.columns:
         documents = documents.withColumn("lang", F.lit(None).cast("string"))
-    rows = training_sample(documents, labels, "toxic", FOLDS, FOLD, most, "lang").collect()
-    return Convolution().fit([words_of((r.text or "").encode()) for r in rows], np.array([r.label for r in rows], np.int64), [r.lang for r in rows])
+    hashed, y, langs = [], [], []
+    for r in training_sample(documents, labels, "toxic", FOLDS, FOLD, most, "lang").toLocalIterator():
+        hashed.append(hashes(r.text))
+        y.append(r.label)
+        langs.append(r.lang)
+    return Convolution().fit(hashed, np.array(y, np.int64), langs)
 
 
 def scored(documents: DataFrame, model: Convolution) -> DataFrame:
