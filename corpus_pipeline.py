@@ -7,7 +7,6 @@ as Parquet into the shared folder and reads them back as the next one's document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tomeweave.llm import decontaminate, mixing, sharding, simhash, toxicity
 from tomeweave.llm.common import settle, table
@@ -30,13 +29,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources reads them."""
-    return mixing.mixed(docs).drop("mix_shard")
+    return mixing.mixed(docs).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their size, shard and place in it."""
-    df, _ = sharding.sharded(docs.withColumn("_size", sharding.size_of()), 24)
-    return sharding.placed(df, "doc_id").select(*docs.columns, F.col("_size").alias("size"), "shard", "slot")
+    return sharding.placed_documents(docs, 24)
 
 
 STAGES = [

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of a word stay (A-Z as a-z); every other ASCII byte becomes a space. Bytes from 0x80 on belong to words.
 ALNUM = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -52,6 +53,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(documents: DataFrame, *cols) -> DataFrame:
+    """documents as one column `_row`, whatever their columns are called, and further columns."""
+    return documents.select(*cols, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+
+
+def widened(df: DataFrame, name: str, kind: DataType) -> StructType:
+    """The schema of df with one more column."""
+    return StructType([*df.schema.fields, StructField(name, kind)])
+
+
+def unpacked(columns: list[str], *replaced: str) -> list:
+    """The columns of `_row` again, less those that others of the same name replace."""
+    gone = {c.lower() for c in replaced}
+    return [F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in gone]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

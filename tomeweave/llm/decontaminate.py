@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WORD, lowered, ship, small_batches, table, words_of
+from .common import WORD, lowered, packed, settle, ship, small_batches, table, unpacked, widened, words_of
 
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items string, spans string"
 
@@ -92,66 +93,63 @@ def item_texts(benchmark: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
-    """All columns of documents, and `_found` with the report's fields."""
+    """`_row` with all columns of documents, and `_found` with the report's fields."""
     spark = documents.sparkSession
     items = item_texts(benchmark)
     if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > most_bytes:
         return scan_joined(documents, benchmark, window)
     small_batches(spark)
     index = ship(spark, Windows([(r.item_id, r.text.encode()) for r in items.collect()], window))
-    names = documents.columns
-    at = names.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    at = documents.columns.index("text")
+    rows = packed(documents)
 
     def find(batches):
         windows = index()
         for batch in batches:
-            found = [report_of(*windows.hits(words_of(t.as_py()))) for t in batch.column(at).cast(pa.binary())]
+            found = [report_of(*windows.hits(words_of(t.as_py()))) for t in batch.column(0).field(at).cast(pa.binary())]
             kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.string(), "spans": pa.string()}
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, list(kinds))], [*names, "_found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, list(kinds))], ["_row", "_found"])
 
-    return documents.mapInArrow(find, f"{fields}, `_found` struct<{REPORT.replace(' long', ':long').replace(' string', ':string').replace(' boolean', ':boolean')}>")
+    return rows.mapInArrow(find, widened(rows, "_found", StructType.fromDDL(REPORT)))
 
 
 def scan_joined(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The same where the items are too many to send to every task: windows of both sides meet by hash and words in a shuffled join."""
-    from .common import settle
-
     words = lambda text: F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     runs = lambda size: F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
     items = item_texts(benchmark).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.lit(window), F.size("w")))
     grams = items.select("item_id", "size", F.explode(runs(F.col("size"))).alias("i"), "w").select("item_id", "size", F.array_join(F.slice("w", F.col("i"), F.col("size")), " ").alias("gram")).distinct()
     grams = settle(grams.groupBy("size", "gram").agg(F.collect_set("item_id").alias("owners")), "grams")
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most `window` numbers
-    kept = settle(documents.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    w = kept.select("_row", words(F.col("text")).alias("w"))
-    each = [w.select("_row", F.lit(s).alias("size"), F.explode(runs(F.lit(s))).alias("i"), "w").select("_row", "size", "i", F.array_join(F.slice("w", F.col("i"), F.lit(s)), " ").alias("gram")) for s in sizes]
+    kept = settle(packed(documents, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_id")), "documents")
+    w = kept.select("_id", words(F.col("text")).alias("w"))
+    each = [w.select("_id", F.lit(s).alias("size"), F.explode(runs(F.lit(s))).alias("i"), "w").select("_id", "size", "i", F.array_join(F.slice("w", F.col("i"), F.lit(s)), " ").alias("gram")) for s in sizes]
     if each:
         found = each[0]
         for x in each[1:]:
             found = found.unionByName(x)
         found = found.join(grams, ["size", "gram"])
-        hit = found.select("_row", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("p")).groupBy("_row").agg(F.countDistinct("p").alias("n_hit"), F.sort_array(F.collect_set("p")).alias("ps"))
-        own = found.select("_row", F.explode("owners").alias("o")).groupBy("_row").agg(F.sort_array(F.collect_set("o")).alias("os"))
-        all_ = w.select("_row", F.size("w").cast("long").alias("n_words")).join(hit, "_row", "left").join(own, "_row", "left")
+        hit = found.select("_id", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("p")).groupBy("_id").agg(F.countDistinct("p").alias("n_hit"), F.sort_array(F.collect_set("p")).alias("ps"))
+        own = found.select("_id", F.explode("owners").alias("o")).groupBy("_id").agg(F.sort_array(F.collect_set("o")).alias("os"))
+        all_ = w.select("_id", F.size("w").cast("long").alias("n_words")).join(hit, "_id", "left").join(own, "_id", "left")
     else:
-        all_ = w.select("_row", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("ps"), F.array().cast("array<string>").alias("os"))
+        all_ = w.select("_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("ps"), F.array().cast("array<string>").alias("os"))
     starts = F.filter("ps", lambda p: ~F.array_contains("ps", p - 1))
     ends = F.filter("ps", lambda p: ~F.array_contains("ps", p + 1))
     listed = F.coalesce(F.array_join("os", ","), F.lit(""))
-    got = all_.select("_row", F.struct("n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("os"), F.lit(0)).cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), listed.alias("items"), F.coalesce(F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat_ws(":", a - 1, b)), ","), F.lit("")).alias("spans")).alias("_found"))
-    return kept.join(got, "_row").drop("_row")
+    got = all_.select("_id", F.struct("n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("os"), F.lit(0)).cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), listed.alias("items"), F.coalesce(F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat_ws(":", a - 1, b)), ","), F.lit("")).alias("spans")).alias("_found"))
+    return kept.join(got, "_id").select("_row", "_found")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Documents without contaminated ones, columns as they were."""
-    return scan(documents, benchmark, window).where("not _found.contaminated").select(*documents.columns)
+    return scan(documents, benchmark, window).where("not _found.contaminated").select(*unpacked(documents.columns))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(documents, table(spark, sf_dir, "benchmark")).select("doc_id", "_found.n_words", "_found.n_hit", "_found.n_items", "_found.items_sha256", "_found.contaminated", "_found.spans")
+    return scan(documents, table(spark, sf_dir, "benchmark")).select("_row.doc_id", "_found.n_words", "_found.n_hit", "_found.n_items", "_found.items_sha256", "_found.contaminated", "_found.spans")
 
 
 OP6_SQL = r"""

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import packed, settle, table, unpacked
 from .sharding import small_table
 
 SEED = 20240607
@@ -175,7 +175,7 @@ def mixed(documents: DataFrame, weights=(1, 2, 3), most: int = 3, shards: int =
     """The mix itself: documents as often as they are drawn, dealt by output shard and shuffled within it, with mix_shard."""
     size = words_in(F.col("text"))
     mix = Mix(settle(documents.select("doc_id", "source", size.alias("size")), "mix-sizes"), weights, most, shards=shards)
-    return mix.drawn(documents.withColumn("size", size)).select(*documents.columns, "mix_shard")
+    return mix.drawn(packed(documents, "doc_id", "source", size.alias("size"))).select(*unpacked(documents.columns, "mix_shard"), "mix_shard")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import packed, settle, table, unpacked
 
 SLOTS = 8192
 PARTS = 64
@@ -133,6 +133,12 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("_own", own).join(F.broadcast(offsets), "_slot").withColumn("slot", (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
 
 
+def placed_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
+    """documents with size, shard and slot; columns of these names are replaced."""
+    df, _ = sharded(packed(documents, "doc_id", size_of().alias("_size")), shards)
+    return placed(df, "doc_id").select(*unpacked(documents.columns, "size", "shard", "slot"), F.col("_size").alias("size"), "shard", "slot")
+
+
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = settle(documents.select("doc_id", size_of().alias("_size"), F.crc32("text").alias("text_crc32")), "sizes")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import packed, settle, small_batches, table, unpacked
 
 BITS = 64
 #: Above so many in one meeting place, rows are dealt again by further blocks.
@@ -243,14 +243,13 @@ def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     """One document of each component, the one of smallest doc_id; columns as they were."""
     near = settle(near_duplicates(documents, shingle, radius), "near-duplicates")
     first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    kept = documents.join(first.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_semi")
+    rows = packed(documents, F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = rows.join(first.distinct(), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
     if near.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])  # rows that are repeated as a whole
+        return kept.select(*unpacked(documents.columns))
+    return kept.dropDuplicates(["_d", "_h"]).select(*unpacked(documents.columns))  # rows that are repeated
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

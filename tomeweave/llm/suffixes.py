@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, small_batches, table, words_of
+from .common import packed, settle, ship, small_batches, table, unpacked, words_of
 
 LEAST, SEED = 50, 16
 #: An odd base has an inverse modulo 2**64, so prefix sums give the hash of any run of words.
@@ -232,9 +232,10 @@ def deduplicated(documents: DataFrame, least: int = LEAST, seed: int = SEED) ->
     """documents, columns as they were, with each repeated passage left only in the document of smallest doc_id."""
     cuts = repeats(documents, least, seed).where("removed <> ''").select(F.col("uid").alias("_uid"), F.col("removed").alias("_removed"))
     cut = F.udf(without, "string")
-    uid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = documents.join(cuts, uid == F.col("_uid"), "left")
-    return rows.withColumn("text", F.when(F.col("_removed").isNotNull(), cut("text", "_removed")).otherwise(F.col("text"))).select(*documents.columns)
+    text = F.col("text").cast("string")
+    rows = packed(documents, F.xxhash64(F.col("doc_id").cast("long"), text).alias("_uid"), text.alias("_text")).join(cuts, "_uid", "left")
+    less = F.when(F.col("_removed").isNotNull(), cut("_text", "_removed")).otherwise(F.col("_text")).alias("text")
+    return rows.select(*unpacked(documents.columns, "text"), less).select(*documents.columns)
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import held_out, logistic, ship, small_batches, table, training_sample, words_of
+from .common import held_out, logistic, packed, ship, small_batches, table, training_sample, unpacked, widened, words_of
 
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 PIECE = 1 << 16
@@ -242,21 +243,21 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = 8000) -> Convolu
 
 
 def scored(documents: DataFrame, model: Convolution) -> DataFrame:
-    """All columns of documents, and `_score` (0 to 1)."""
+    """`_row` with all columns of documents, and `_score` (0 to 1)."""
     spark = documents.sparkSession
     small_batches(spark)
     sent = ship(spark, model)
-    names, at = documents.columns, documents.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    at = documents.columns.index("text")
+    rows = packed(documents)
 
     def score(batches):
         net = sent()
         known = Rows(net.hashes or {})
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(at).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(texts, known), pa.float64())], [*names, "_score"])
+            texts = [t.as_py() for t in batch.column(0).field(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(texts, known), pa.float64())], ["_row", "_score"])
 
-    return documents.mapInArrow(score, f"{fields}, `_score` double")
+    return rows.mapInArrow(score, widened(rows, "_score", DoubleType()))
 
 
 def threshold(model: Convolution, lang):
@@ -270,8 +271,8 @@ def threshold(model: Convolution, lang):
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents whose score is under their language's threshold, columns as they were."""
     model = fitted(documents, labels)
-    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
-    return scored(documents, model).where(F.col("_score") < threshold(model, lang)).select(*documents.columns)
+    lang = F.col("_row.lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    return scored(documents, model).where(F.col("_score") < threshold(model, lang)).select(*unpacked(documents.columns))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -279,10 +280,10 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     model = fitted(documents, labels)
     out = scored(documents.select("doc_id", "text", "lang"), model)
     return out.select(
-        "doc_id",
-        held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"),
+        "_row.doc_id",
+        held_out(F.col("_row.doc_id"), FOLDS, FOLD).alias("held_out"),
         F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
-        threshold(model, F.col("lang")).alias("threshold"),
-        (F.col("_score") >= threshold(model, F.col("lang"))).alias("rejected"),
+        threshold(model, F.col("_row.lang")).alias("threshold"),
+        (F.col("_score") >= threshold(model, F.col("_row.lang"))).alias("rejected"),
     )
