@@ -171,11 +171,11 @@ class Mix:
         return df.repartition(self.shards, "mix_shard").sortWithinPartitions("mix_shard", self._hash("shuffle", "doc_id", "_reading")).drop("mix_shards", "_reading")
 
 
-def mixed(documents: DataFrame, weights=(1, 2, 3), most: int = 3, shards: int = 64) -> DataFrame:
-    """The mix itself: documents as often as they are drawn, dealt by output shard and shuffled within it, with mix_shard."""
+def mixed(documents: DataFrame, weights=(1, 2, 3), most: int = 3, shards: int = 64, name: str | None = "mix_shard") -> DataFrame:
+    """The mix itself: documents as often as they are drawn, dealt by output shard and shuffled within it, with the shard under a name, if one is given."""
     size = words_in(F.col("text"))
     mix = Mix(settle(documents.select("doc_id", "source", size.alias("size")), "mix-sizes"), weights, most, shards=shards)
-    return mix.drawn(packed(documents, "doc_id", "source", size.alias("size"))).select(*unpacked(documents.columns, "mix_shard"), "mix_shard")
+    return mix.drawn(packed(documents, "doc_id", "source", size.alias("size"))).select(*unpacked(documents.columns, name or ""), *([F.col("mix_shard").alias(name)] if name else []))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

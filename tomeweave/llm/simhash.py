@@ -242,7 +242,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3) ->
 def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One document of each component, the one of smallest doc_id; columns as they were."""
     near = settle(near_duplicates(documents, shingle, radius), "near-duplicates")
-    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     rows = packed(documents, F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     kept = rows.join(first.distinct(), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
     if near.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():

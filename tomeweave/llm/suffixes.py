@@ -217,8 +217,10 @@ def repeats(documents: DataFrame, least: int = LEAST, seed: int = SEED) -> DataF
     return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "uid", "n_repeated", "n_removed", "spans", "removed")
 
 
-def without(text: str, removed: str) -> str:
+def without(text: str | None, removed: str | None) -> str | None:
     """The text less the words of these spans and what stands between them."""
+    if not text or not removed:
+        return text
     places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
     for span in removed.split(","):
@@ -231,11 +233,11 @@ def without(text: str, removed: str) -> str:
 def deduplicated(documents: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """documents, columns as they were, with each repeated passage left only in the document of smallest doc_id."""
     cuts = repeats(documents, least, seed).where("removed <> ''").select(F.col("uid").alias("_uid"), F.col("removed").alias("_removed"))
-    cut = F.udf(without, "string")
+    cut = F.udf(without, "string", useArrow=True)
     text = F.col("text").cast("string")
     rows = packed(documents, F.xxhash64(F.col("doc_id").cast("long"), text).alias("_uid"), text.alias("_text")).join(cuts, "_uid", "left")
-    less = F.when(F.col("_removed").isNotNull(), cut("_text", "_removed")).otherwise(F.col("_text")).alias("text")
-    return rows.select(*unpacked(documents.columns, "text"), less).select(*documents.columns)
+    less = cut("_text", "_removed").alias("text")
+    return rows.select(*[less if c == "text" else kept for c, kept in zip(documents.columns, unpacked(documents.columns))])
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:
