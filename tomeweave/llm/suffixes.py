@@ -184,17 +184,18 @@ def repeats(documents: DataFrame, least: int = LEAST, seed: int = SEED) -> DataF
     rec = settle(suffixes(documents, least, seed), "suffixes")
     # beginnings that stand in two documents
     shared = rec.groupBy("seed").agg(*spread(), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("u0 <> u1")
-    shared = shared.select("seed", F.col("d0").alias("s0"), (F.col("c0") != F.col("c1")).alias("several"))
+    # small tables are written before they are joined, so that hot keys of the other side can be split
+    shared = settle(shared.select("seed", F.col("d0").alias("s0"), (F.col("c0") != F.col("c1")).alias("several")), "shared-beginnings")
     found = settle(rec.join(shared, "seed"), "shared-suffixes")
     whole = found.where("not several").select("d", "uid", "lo", "hi", (F.col("d") == F.col("s0")).alias("first"))
     # several reaches with one beginning
     several = found.where("several").drop("s0", "several")
-    reach = several.groupBy("seed", "ctx").agg(*spread())
+    reach = settle(several.groupBy("seed", "ctx").agg(*spread()), "reach")
     marked = settle(several.join(reach, ["seed", "ctx"]), "reaches")
     speaks = (F.col("uid") == F.col("u0")) | (F.col("d") == F.col("d0"))
     silent = marked.where(~speaks).select("d", "uid", "lo", "hi", F.lit(False).alias("first"))
     wins = settle(windows(documents, marked.where(speaks), least), "windows")
-    twice = wins.groupBy("seed", "win").agg(*spread("u0", "u1", "d0")).where("u0 <> u1").select("seed", "win", F.col("d0").alias("w0"))
+    twice = settle(wins.groupBy("seed", "win").agg(*spread("u0", "u1", "d0")).where("u0 <> u1").select("seed", "win", F.col("d0").alias("w0")), "twice")
     edges = wins.join(twice, ["seed", "win"]).select("d", "uid", F.col("at").alias("lo"), F.col("at").alias("hi"), (F.col("d") == F.col("w0")).alias("first"))
     every = whole.unionByName(silent).unionByName(edges)
     listed = every.groupBy("d", "uid").agg(F.collect_list(F.struct("lo", "hi", "first")).alias("own"))  # at most a document's windows
