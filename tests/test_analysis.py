@@ -193,7 +193,7 @@ def test_metadata_rules(spark):
     for r in rows.select(F.round(T.importance(F.col("t"), F.col("h")), 4).alias("got"), "want").collect():
         assert r.got == pytest.approx(r.want)
     r = spark.createDataFrame([("The cat_x and for 数据上送数据 Cat cat_x ab 可以",)], "t string").select(T.keywords(F.col("t")).alias("k"), T.plain(F.lit("# H\n* a `b` [c](d)\n\n\n1. e")).alias("p"), T.summary(F.lit("# H\n```x```  **b**")).alias("s")).first()
-    assert r.k == ["The", "cat_x", "Cat", "数据上送", "数据"] and r.p == "H\na b c\ne" and r.s == "H [代码]  b"
+    assert r.k == ["The", "cat_x", "Cat", "数据上送", "数据"] and r.p == "H\n a b c\ne" and r.s == "H [代码]  b"
 
 
 def test_snippets():

@@ -7,6 +7,7 @@ path filters act on postings after the statistics are taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,11 @@ class Index:
     def of(self, terms: list[str]) -> DataFrame:
         return self.postings.where(F.col("term").isin(terms))
 
+    def regrouped(self, source: Column) -> Index:
+        """The same documents under other sources."""
+        docs = self.docs.withColumn("source_id", source)
+        return Index(docs, self.postings.withColumn("source_id", source), statistics(docs))
+
 
 def statistics(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
@@ -75,6 +81,13 @@ def plain_index(entries: DataFrame, only: list[str] | None = None) -> Index:
     return index_of_terms(fields(entries).select(*KEY, "field", T.terms(F.col("text")).alias("terms")), only)
 
 
+def stored(index: Index, keep: Callable[[str, Callable[[], DataFrame]], DataFrame]) -> Index:
+    """An index whose tables are kept (name, builder) and read: postings in ranges of source and term, so that a term's row groups are few."""
+    postings = keep("postings", lambda: index.postings.repartitionByRange("source_id", "term").sortWithinPartitions("source_id", "term"))
+    docs = keep("docs", lambda: index.docs)
+    return Index(docs, postings, statistics(docs))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 

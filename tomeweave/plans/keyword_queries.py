@@ -9,6 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import bm25, snippets
 from ..sources.corpus import entries, table
+from ..sources.shared import built
 from .corpus_queries import ENTRIES, POSTINGS, RUNS, TERMS, _list
 
 #: The text searched for, and its terms.
@@ -18,9 +19,10 @@ WEIGHTS = {t: L.WEIGHTS["identifier"] for t in QUERY}
 TOP, SCOPE, NEEDLE = 50, "en", "the"
 
 
-def index(spark: SparkSession, d: str, by: str | None = None) -> bm25.Index:
-    rows = entries(table(spark, d, "documents"))
-    return bm25.plain_index(rows.withColumn("source_id", F.lit(by)) if by else rows, list(QUERY))
+def index(spark: SparkSession, d: str) -> bm25.Index:
+    """The collection's index, built at the first search of a session."""
+    source = f"{d}/documents.parquet"
+    return bm25.stored(bm25.plain_index(entries(table(spark, d, "documents"))), lambda name, build: built(spark, name, source, build))
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +42,8 @@ def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_high_df_pruned(spark: SparkSession, d: str) -> DataFrame:
     """Languages as sources: their own name stands in every path and adds nothing."""
-    rows = entries(table(spark, d, "documents")).withColumn("source_id", F.get("tags", F.lit(0)))
-    return bm25.search(bm25.plain_index(rows, ["en", "de", "hand", "vi"]), {t: 1.5 for t in ("en", "de", "hand", "vi")}, TOP)
+    by_language = index(spark, d).regrouped(F.substring_index("rel_path", "/", 1))
+    return bm25.search(by_language, {t: 1.5 for t in ("en", "de", "hand", "vi")}, TOP)
 
 
 def bm25_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ def bm25_unscoped(spark: SparkSession, d: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every text of benchmark as a query against the whole collection."""
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.terms(F.col("text")).alias("terms"))
-    return bm25.batch(bm25.plain_index(entries(table(spark, d, "documents")).withColumn("source_id", F.lit("all"))), queries).drop("source_id")
+    return bm25.batch(index(spark, d).regrouped(F.lit("all")), queries).drop("source_id")
 
 
 def legacy_bm25_search(spark: SparkSession, d: str) -> DataFrame:
