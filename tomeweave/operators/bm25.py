@@ -136,10 +136,11 @@ def evidence(index: Index, query: dict[str, float], include: Column | None = Non
 def batch(index: Index, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, source_id, rel_path, score, rank) for a table of queries (query_id, terms), each term once; statistics are shared by all."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    df = index.postings.groupBy("source_id", "term").agg(F.countDistinct("rel_path").alias("df"))
-    known = df.join(asked.select("term").distinct(), "term").join(index.stats, "source_id").where((F.col("n") <= 1) | (F.col("df") < L.NOISE_SHARE * F.col("n")))
+    mine = index.postings.join(asked.select("term").distinct(), "term")
+    df = mine.groupBy("source_id", "term").agg(F.countDistinct("rel_path").alias("df"))
+    known = df.join(index.stats, "source_id").where((F.col("n") <= 1) | (F.col("df") < L.NOISE_SHARE * F.col("n")))
     part = field_weight(F.col("field")) * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl")) * F.least(F.lit(L.LEXICAL_MOST), F.sqrt(F.lit(L.WEIGHTS["identifier"]) * F.col("token_weight")))
-    by_term = index.postings.join(known, ["source_id", "term"]).join(index.docs, list(KEY)).groupBy("term", *KEY).agg(F.sum(part).alias("part"))
+    by_term = mine.join(known, ["source_id", "term"]).join(index.docs, list(KEY)).groupBy("term", *KEY).agg(F.sum(part).alias("part"))
     scores = asked.join(by_term, "term").groupBy("query_id", *KEY).agg(half_up(10 * F.sum("part")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id", "rel_path")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
@@ -149,25 +150,21 @@ def contains(needle: str):
     return lambda text: F.contains(F.lower(text), F.lit(needle))
 
 
-def legacy_scores(entries: DataFrame, query: list[str]) -> DataFrame:
-    """(source_id, rel_path, score): boosts for title, path and tags, and BM25 of one field whose terms in over `NOISE_SHARE` of the documents are left out."""
-    body = F.concat(T.bracketed(F.col("rel_path")), F.lit("\n"), F.col("content"))
-    listed = entries.where("content is not null").withColumn("terms", T.terms(body))
-    docs = listed.select(*KEY, "title", "tags", F.size("terms").alias("len"), F.filter("terms", lambda t: t.isin(query)).alias("own"))
-    stats = docs.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = docs.select("source_id", F.explode(F.array_distinct("own")).alias("term")).groupBy("source_id", "term").agg(F.count("*").alias("df"))
-    df = df.join(stats, "source_id").where(F.col("df") < L.NOISE_SHARE * F.col("n"))
+def legacy_scores(index: Index, entries: DataFrame, query: list[str]) -> DataFrame:
+    """(source_id, rel_path, score): boosts for title, path and tags, and BM25 of the body alone; terms in over `NOISE_SHARE` of the documents are left out."""
+    body = index.of(query).where("field = 'body'")
+    df = body.groupBy("source_id", "term").agg(F.count("*").alias("df")).join(index.stats, "source_id").where(F.col("df") < L.NOISE_SHARE * F.col("n"))
     asked = F.lit(0)
     for term in query:
         asked = asked + F.when(F.col("term") == term, 1).otherwise(0)
-    tf = docs.select(*KEY, "len", F.explode("own").alias("term")).groupBy(*KEY, "len", "term").agg(F.count("*").alias("tf")).join(df, ["source_id", "term"])
-    bm = tf.groupBy(*KEY).agg(F.sum(asked * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("bm"))
+    rows = body.join(df, ["source_id", "term"]).join(index.docs, list(KEY))
+    bm = rows.groupBy(*KEY).agg(F.sum(asked * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("bm"))
     boost = F.lit(0.0)
     for term in query:
         has = contains(term)
         boost = boost + F.when(has(F.col("title")), 10.0).otherwise(0.0) + F.when(has(F.col("rel_path")), 5.0 / len(query)).otherwise(0.0) + F.when(F.exists("tags", has), 3.0).otherwise(0.0)
     total = boost + 10 * F.coalesce("bm", F.lit(0.0))
-    return docs.join(bm, list(KEY), "left").select(*KEY, total.alias("total")).where("total > 0").select(*KEY, half_up(F.col("total")).alias("score"))
+    return entries.join(bm, list(KEY), "left").select(*KEY, total.alias("total")).where("total > 0").select(*KEY, half_up(F.col("total")).alias("score"))
 
 
 def substring_scores(entries: DataFrame, query: str) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import chunk, compile
-from ..sources.corpus import entries, markdown, table
+from ..sources.corpus import documents, entries, markdown
 from .corpus_queries import _list, _values
 
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.by_heading(markdown(table(spark, d, "documents")))
+    return chunk.by_heading(markdown(documents(spark, d)))
 
 
 def chunk_by_heading(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def chunk_by_heading(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_context(spark: SparkSession, d: str) -> DataFrame:
     """The second chunk of each file with its neighbours."""
-    rows = chunk.contexts(markdown(table(spark, d, "documents")), 1)
+    rows = chunk.contexts(markdown(documents(spark, d)), 1)
     return rows.select("source_id", "rel_path", "chunk_index", "offset", F.substring_index("piece", "\n", 1).alias("heading"))
 
 
@@ -30,7 +30,7 @@ def heading_path(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose every third line is a heading of level 1, 2 or 3 in turn."""
     marks = lambda i: F.concat(F.repeat(F.lit("#"), (1 + F.floor(i / 3) % 3).cast("int")), F.lit(" "))
     lines = F.transform(F.split("content", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(marks(i), x)).otherwise(x))
-    return chunk.heading_paths(entries(table(spark, d, "documents")).withColumn("content", F.array_join(lines, "\n")))
+    return chunk.heading_paths(entries(documents(spark, d)).withColumn("content", F.array_join(lines, "\n")))
 
 
 LINKS = ("See [[Alpha]] and [[Beta|the second]], [[Alpha#part]] [[ Gamma ]].", "none", "[[A]][[B]] [[A|x]] [[]]", "[[汉字]] ![[pic.png]]")
@@ -61,7 +61,7 @@ def preprocess_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keywords_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = entries(table(spark, d, "documents"))
+    rows = entries(documents(spark, d))
     return rows.select("source_id", "rel_path", F.array_join(T.keywords(F.col("content")), ",").alias("keywords"))
 
 
@@ -83,7 +83,7 @@ def content_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     """What each entry is embedded as when its keywords and first lines are all that is known."""
-    rows = entries(table(spark, d, "documents"))
+    rows = entries(documents(spark, d))
     none = F.array().cast("array<string>")
     text = compile.chunk_embedding_text(T.content_class(F.col("rel_path")), T.temporal_anchor(F.col("content")), F.col("title"), none, F.col("tags"), T.keywords(F.col("content")), F.lit(""), F.col("content"))
     return rows.select("source_id", "rel_path", F.md5(text).alias("md5"), F.length(text).alias("length"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import bm25
-from ..sources.corpus import entries, table
+from ..sources.corpus import documents, entries, table
 
 ENTRIES = r"""
 entries AS (
@@ -40,7 +40,7 @@ PREFIX, FILTER = "en", "ion"
 
 
 def entries_from_documents(spark: SparkSession, d: str) -> DataFrame:
-    return entries(table(spark, d, "documents")).select("source_id", "rel_path", "title", F.array_join("tags", ",").alias("tags"), F.md5("content").alias("md5"), F.length("content").cast("long").alias("n_chars"))
+    return entries(documents(spark, d)).select("source_id", "rel_path", "title", F.array_join("tags", ",").alias("tags"), F.md5("content").alias("md5"), F.length("content").cast("long").alias("n_chars"))
 
 
 def list_files_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -63,14 +63,14 @@ def file_filter(spark: SparkSession, d: str) -> DataFrame:
 def token_spans(spark: SparkSession, d: str) -> DataFrame:
     """Identifier runs of every text with where they begin and end, in characters."""
     pieces = F.split(F.regexp_replace("content", "[^A-Za-z0-9_./-]", " "), " ")
-    rows = entries(table(spark, d, "documents")).select("source_id", "rel_path", F.posexplode(pieces).alias("place", "run"))
+    rows = entries(documents(spark, d)).select("source_id", "rel_path", F.posexplode(pieces).alias("place", "run"))
     before = Window.partitionBy("source_id", "rel_path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("run") + 1).over(before), F.lit(0))
     return rows.select("source_id", "rel_path", "run", start.alias("start"), (start + F.length("run")).alias("end")).where("run <> ''")
 
 
 def listed(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.plain_index(entries(table(spark, d, "documents")))
+    return bm25.plain_index(entries(documents(spark, d)))
 
 
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import bm25, snippets
-from ..sources.corpus import entries, table
+from ..sources.corpus import documents, entries, table
 from ..sources.shared import built
 from .corpus_queries import ENTRIES, POSTINGS, RUNS, TERMS, _list
 
@@ -22,7 +22,7 @@ TOP, SCOPE, NEEDLE = 50, "en", "the"
 def index(spark: SparkSession, d: str) -> bm25.Index:
     """The collection's index, built at the first search of a session."""
     source = f"{d}/documents.parquet"
-    return bm25.stored(bm25.plain_index(entries(table(spark, d, "documents"))), lambda name, build: built(spark, name, source, build))
+    return bm25.stored(bm25.plain_index(entries(documents(spark, d))), lambda name, build: built(spark, name, source, build))
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -64,20 +64,20 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legacy_bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.legacy_scores(entries(table(spark, d, "documents")), list(QUERY))
+    return bm25.legacy_scores(index(spark, d), entries(table(spark, d, "documents")), list(QUERY))
 
 
 def legacy_substring_search(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.substring_scores(entries(table(spark, d, "documents")), NEEDLE)
+    return bm25.substring_scores(entries(documents(spark, d)), NEEDLE)
 
 
 def keyword_snippet(spark: SparkSession, d: str) -> DataFrame:
-    rows = entries(table(spark, d, "documents"))
+    rows = entries(documents(spark, d))
     return rows.select("source_id", "rel_path", snippets.snippet(F.col("content"), list(QUERY)).alias("snippet")).where("snippet <> ''")
 
 
 def first_match_context(spark: SparkSession, d: str) -> DataFrame:
-    rows = entries(table(spark, d, "documents"))
+    rows = entries(documents(spark, d))
     return rows.select("source_id", "rel_path", snippets.first_context(F.col("content"), NEEDLE).alias("context")).where("context is not null")
 
 

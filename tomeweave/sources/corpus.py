@@ -12,10 +12,27 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: A smaller input comes in too few row groups to keep all cores busy.
+SMALL_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """The rows of a small file dealt out to all cores, for work that costs more than the shuffle; larger inputs as they are."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for text analysis."""
+    return spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+
+
 def entries(documents: DataFrame) -> DataFrame:
     """documents as entries: a source is a shard, a language a folder and the first line the title."""
     return documents.select(
