@@ -106,8 +106,19 @@ def labelled(labels: DataFrame, name: str, folds: int, fold: int) -> DataFrame:
 
 def training_sample(documents: DataFrame, labels: DataFrame, name: str, folds: int, fold: int, most: int, *extra: str) -> DataFrame:
     """At most `most` labelled documents (text, label, extra columns), those of smallest hash: the same rows on each run."""
+    return first_of(labelled_texts(documents, labels, name, folds, fold, most, *extra), most)
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, name: str, folds: int, fold: int, most: int, *extra: str) -> DataFrame:
+    """The documents (text, label, _hash, doc_id, extra columns) of at most `most` labelled doc_ids, those of smallest hash."""
     chosen = labelled(labels, name, folds, fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text", *extra).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most)
+    rows = documents.select("doc_id", "text", *extra).join(F.broadcast(chosen), "doc_id")
+    return rows.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text").alias("_hash"), "doc_id", *extra)
+
+
+def first_of(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows where doc_ids are repeated, those of smallest hash."""
+    return rows.orderBy("_hash", "doc_id").limit(most)
 
 
 def logistic(x):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, logistic, ship, small_batches, table, training_sample
+from .common import first_of, held_out, labelled_texts, logistic, ship, small_batches, table
 
 FOLDS, FOLD = 4, 2
 KIND = np.zeros(256, np.int64)  # 0 other controls, 1 a-z, 2 A-Z, 3 digit, 4 space, 5 newline, 6 . , ; : ! ? ' " ( ) -, 7 other ASCII marks, 8 UTF-8 lead, 9 UTF-8 tail
@@ -120,16 +120,16 @@ class Trees:
 
 def fitted(documents: DataFrame, labels: DataFrame, most: int = 20000) -> Trees:
     """The model, learnt from at most `most` labelled documents outside the held-out fold; only their statistics come to the driver."""
-    sample = training_sample(documents, labels, "quality", FOLDS, FOLD, most)
     small_batches(documents.sparkSession)
-    rows = sample.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(measured, "x array<double>, label int").collect()
+    texts = labelled_texts(documents, labels, "quality", FOLDS, FOLD, most).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = first_of(texts.mapInArrow(measured, "x array<double>, label int, _hash long, doc_id long"), most).collect()
     return Trees().fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), len(NAMES)), np.array([r.label for r in rows], np.float64))
 
 
 def measured(batches):
     for batch in batches:
         x = [statistics(t.as_py()) for t in batch.column(0).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], ["x", "label", "_hash", "doc_id"])
 
 
 def scored(documents: DataFrame, model: Trees) -> DataFrame:
