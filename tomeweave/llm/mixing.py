@@ -92,7 +92,7 @@ class Mix:
             raise ValueError(f"more than {most_sources} sources")
         found = sorted(found.collect(), key=lambda r: (r.source is None, r.source or ""))
         want = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
-        self.parts = max(1, round(sum(r.size for r in found) / shards / 1_000_000))
+        self.parts = max(1, round(sum(r.size for r in found) / shards / 100_000))
         plan = []
         for r, t in zip(found, want):
             whole = min(most, int(t // r.size)) if r.size else 1
@@ -167,7 +167,7 @@ class Mix:
         return df.withColumn("mix_shards", at).drop("whole", "rest", "blocks", "_block", "_rank", "_fit", "_subs", "_sub", "_subfit", "_pick", "firsts")
 
     def drawn(self, df: DataFrame) -> DataFrame:
-        """One row per reading, dealt by output shard and shuffled within it: by hash into parts of about a million words, and by hash within each part."""
+        """One row per reading, dealt by output shard and shuffled within it: by hash into parts of about a hundred thousand words, and by hash within each part."""
         df = self.decided(df).select("*", F.posexplode("mix_shards").alias("_reading", "mix_shard"))
         df = df.withColumn("_at", self._hash("shuffle", "doc_id", "_reading")).withColumn("_part", F.pmod("_at", F.lit(self.parts)))
         return df.repartition("mix_shard", "_part").sortWithinPartitions("mix_shard", "_part", "_at").drop("mix_shards", "_reading", "_at", "_part")
