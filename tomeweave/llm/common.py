@@ -104,11 +104,6 @@ def labelled(labels: DataFrame, name: str, folds: int, fold: int) -> DataFrame:
     return rows.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, name: str, folds: int, fold: int, most: int, *extra: str) -> DataFrame:
-    """At most `most` labelled documents (text, label, extra columns), those of smallest hash: the same rows on each run."""
-    return first_of(labelled_texts(documents, labels, name, folds, fold, most, *extra), most)
-
-
 def labelled_texts(documents: DataFrame, labels: DataFrame, name: str, folds: int, fold: int, most: int, *extra: str) -> DataFrame:
     """The documents (text, label, _hash, doc_id, extra columns) of at most `most` labelled doc_ids, those of smallest hash."""
     chosen = labelled(labels, name, folds, fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import held_out, logistic, packed, ship, small_batches, table, training_sample, unpacked, widened, words_of
+from .common import first_of, held_out, labelled_texts, logistic, packed, ship, small_batches, table, unpacked, widened, words_of
 
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 PIECE = 1 << 16
@@ -59,7 +59,7 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     parts, starts, at = [], [], 0
     for r in rows:
         starts.append(at)
-        pad = np.zeros(2 + (len(r) == 0), np.int64)
+        pad = np.zeros(2 + (len(r) == 0), np.int32)
         parts += [r, pad]
         at += len(r) + len(pad)
     return np.concatenate(parts), np.array(starts)
@@ -91,17 +91,24 @@ class Convolution:
         if len(y) >= 500:
             kept[::5] = True
         learn = np.flatnonzero(~kept)
-        once = [np.unique(hashed[i]) for i in learn]
-        words, inverse = np.unique(np.concatenate(once), return_inverse=True)
-        owner = np.repeat(y[learn], [len(x) for x in once])
-        docs_with, toxic_with = np.bincount(inverse, minlength=len(words)), np.bincount(inverse, owner, len(words))
+        counted = lambda ids: np.unique(np.concatenate([np.unique(hashed[i]) for i in ids]), return_counts=True)
+        words, docs_with = counted(learn)
+        toxic, n = counted(learn[y[learn] == 1])
+        toxic_with = np.zeros(len(words))
+        toxic_with[np.searchsorted(words, toxic)] = n
         often = docs_with >= least_docs
         words, docs_with, toxic_with = words[often], docs_with[often], toxic_with[often]
         prior = float(y[learn].mean())
         rate = (toxic_with + 10 * prior) / (docs_with + 10)
         odds = np.log(rate / (1 - rate)) - np.log(prior / (1 - prior))
         self.hashes = dict(zip(words.tolist(), range(1, len(words) + 1)))
-        rows = [np.fromiter((self.hashes.get(h, 0) for h in x.tolist()), np.int64, len(x)) for x in hashed]
+        known = np.append(words, np.uint32(0))  # a place for what is beyond the last
+
+        def numbered(x: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(words, x)
+            return np.where((known[i] == x) & (i < len(words)), i + 1, 0).astype(np.int32)
+
+        rows = [numbered(x) for x in hashed]
         e = np.zeros((len(words) + 1, DIM), np.float32)
         e[1:] = rng.normal(0, 0.05, (len(words), DIM))
         e[1:, 0] = np.clip(odds, -1, 5) / 2
@@ -234,12 +241,18 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = 8000) -> Convolu
     """The classifier, learnt from at most `most` labelled documents outside the held-out fold."""
     if "lang" not in documents.columns:
         documents = documents.withColumn("lang", F.lit(None).cast("string"))
-    hashed, y, langs = [], [], []
-    for r in training_sample(documents, labels, "toxic", FOLDS, FOLD, most, "lang").toLocalIterator():
-        hashed.append(hashes(r.text))
-        y.append(r.label)
-        langs.append(r.lang)
-    return Convolution().fit(hashed, np.array(y, np.int64), langs)
+    small_batches(documents.sparkSession)
+    texts = labelled_texts(documents, labels, "toxic", FOLDS, FOLD, most, "lang").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("lang", F.col("lang").cast("string"))
+    sample = first_of(texts.mapInArrow(hashed_words, "words binary, label int, _hash long, doc_id long, lang string"), most).select("words", "label", "lang").toArrow()
+    rows = [np.frombuffer(w.as_py(), np.uint32) for w in sample.column(0)]
+    return Convolution().fit(rows, np.array(sample.column(1).to_pylist(), np.int64), sample.column(2).to_pylist())
+
+
+def hashed_words(batches):
+    """The texts of a sample as their words' hashes, 4 bytes each."""
+    for batch in batches:
+        words = [hashes(t.as_py()).tobytes() for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
 
 
 def scored(documents: DataFrame, model: Convolution) -> DataFrame:
