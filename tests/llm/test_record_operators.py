@@ -274,6 +274,21 @@ def test_neighbours_of_few_vectors(spark, tmp_path, count):
     assert len(got) == count * (count - 1)
 
 
+def test_vectors_apart_have_ten_neighbours(spark, tmp_path):
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rng = np.random.default_rng(0)
+    middles = unit(rng.normal(size=(40, 64)))
+    bulk = unit(middles[np.arange(6000) % 40] + 0.05 * rng.normal(size=(6000, 64)))
+    rows = [(10_001 + i + i // 99, v.tolist()) for i, v in enumerate(bulk)]  # none is asked for
+    for size in range(1, 10):
+        group = unit(unit(rng.normal(size=64)) + 0.001 * rng.normal(size=(size, 64)))
+        rows += [(100 * size + i, v.tolist()) for i, v in enumerate(group)]
+    got = neighbours.op4_neighbours(spark, folder(tmp_path / "t", [], embeddings=embeddings(rows))).collect()
+    found = Counter(r.query_id for r in got)
+    assert {q: n for q, n in found.items() if q < 1000} == {100 * size: 10 for size in range(1, 10)}
+    assert compare(got, brute_near(rows)) >= 0.9
+
+
 def test_recall_on_all_vectors(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{BIG}/embeddings.parquet").collect()]
     assert compare(neighbours.op4_neighbours(spark, BIG).collect(), brute_near(rows)) >= 0.9

@@ -9,8 +9,9 @@
 4. A vector goes to its nearest centroid's list and, if it lies near a boundary (within `spill`
    times the nearest distance), to up to `copies` lists, but to none whose centroid is nearer to
    one already chosen than to the vector.
-5. A query reads the lists whose centroid is within `ratio` times the distance of its nearest.
-   Lists longer than `part` are dealt into parts by hash, each searched by itself.
+5. A query reads its nearest lists until they hold a full answer, each member counted in one list
+   only, and all lists whose centroid is within `ratio` times the distance of the last of these.
+   If the lists that the walk finds hold less, all lists are tried. Lists longer than `part` are dealt into parts by hash, each searched by itself.
 6. Distances are taken in double precision on the original vectors, in blocks; each list returns
    its best, and the best over all lists remain.
 
@@ -125,32 +126,53 @@ def classes(rows: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
 
 
-def listed(df: DataFrame, centroids, width: int, factor: float, most: int, spread: bool) -> DataFrame:
-    """df (rep, v, members) with a row for each list: those within `factor` times the nearest distance, `most` at most; spread: none nearer to a chosen one."""
+def listed(df: DataFrame, centroids, width: int, factor: float, most: int, spread: bool, held: np.ndarray | None = None) -> DataFrame:
+    """df (rep, v, members) with a row for each list: those within `factor` times the nearest distance, `most` at most; spread: none nearer to a chosen one.
+
+    With `held`, the members of each list, the distance is that of the list with which NEAREST + 1 members are reached. `first` marks a row's nearest list.
+    """
+
+    def reach(ids: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place and distance of the list with which enough members are reached; distance infinite if they are not."""
+        enough = np.cumsum(np.where(np.isfinite(dist), held[np.maximum(ids, 0)], 0), 1) > NEAREST
+        place = enough.argmax(1)
+        return place, np.where(enough.any(1), dist[np.arange(len(ids)), place], np.inf)
 
     def deal(batches):
         graph = centroids()
         for batch in batches:
             size = len(batch.column(1).values) // max(1, batch.num_rows)
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, size)
-            takes, lists = [], []
+            takes, lists, firsts = [], [], []
             for at in range(0, len(x), 512):
                 ids, dist = graph.nearest(x[at : at + 512], width)
-                good = np.isfinite(dist) & (dist <= factor * dist[:, :1] + 1e-12)
+                full = dist[:, 0] if held is None else reach(ids, dist)[1]
+                good = np.isfinite(dist) & (dist <= factor * full[:, None] + 1e-12)
                 good[:, most:] &= not spread
                 if spread:
                     c = graph.centres[np.maximum(ids, 0)]
                     for j in range(1, min(most, ids.shape[1])):
                         apart = np.sqrt(((c[:, :j] - c[:, j : j + 1]) ** 2).sum(2))
                         good[:, j] &= ~((apart < dist[:, j : j + 1]) & good[:, :j]).any(1)
+                for i in np.flatnonzero(np.isinf(full)):  # the walk's lists hold too few
+                    good[i] = False
+                    far = np.sqrt(squared(x[at + i : at + i + 1], graph.centres))
+                    order = np.argsort(far, 1, kind="stable")
+                    place, end = reach(order, np.take_along_axis(far, order, 1))
+                    near = order[0][: max(width, place[0] + 1)] if np.isfinite(end[0]) else order[0]
+                    near = near[far[0][near] <= factor * end[0] + 1e-12]
+                    takes.append(np.full(len(near), at + i))
+                    lists.append(near)
+                    firsts.append(np.arange(len(near)) == 0)
                 r, k = np.nonzero(good)
                 takes.append(r + at)
                 lists.append(ids[r, k])
+                firsts.append(k == 0)
             rows = pa.array(np.concatenate(takes) if takes else np.empty(0, np.int64))
             taken = batch.take(rows)
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32))], [*batch.schema.names, "list"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)), pa.array(np.concatenate(firsts) if firsts else np.empty(0, bool))], [*batch.schema.names, "list", "first"])
 
-    return df.mapInArrow(deal, "rep long, v array<double>, members array<long>, list int")
+    return df.mapInArrow(deal, "rep long, v array<double>, members array<long>, list int, first boolean")
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20_000, per_list: int = 128, copies: int = 4, spill: float = 1.1, ratio: float = 1.4, width: int = 96, part: int = 2048) -> DataFrame:
@@ -168,12 +190,16 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
     x = np.array([r.v for r in drawn])
     # as many lists as the classes need, 8 sample rows each at least
     clusters = max(1, min(count // per_list, len(x) // 8))
-    centroids = ship(spark, Centroids(balanced(x, max(1, len(x) // clusters))))
+    centres = balanced(x, max(1, len(x) // clusters))
+    centroids = ship(spark, Centroids(centres))
     postings = settle(listed(whole, centroids, 16, spill, copies, True), "postings")
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))  # a row per list
+    held = np.zeros(len(centres), np.int64)
+    for r in postings.where("first").groupBy("list").agg(F.sum(F.size("members")).alias("n")).collect():  # a row per list
+        held[r.list] = r.n
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.select("v").distinct().join(whole, "v").select("rep", "v", "members")
-    probes = listed(queries, centroids, width, ratio, width, False).join(F.broadcast(parts), "list").select("rep", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    probes = listed(queries, centroids, width, ratio, width, False, held).join(F.broadcast(parts), "list").select("rep", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = postings.join(F.broadcast(parts), "list").select("rep", "v", "members", "list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
