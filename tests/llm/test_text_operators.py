@@ -323,6 +323,15 @@ def test_keep_one_document_of_each_component(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == [4, 5, 7]
 
 
+def test_keep_one_tells_components_apart_without_ids(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    rows = [(None, a, "en", "a", 1), (None, b, "en", "a", 1), (None, a, "en", "b", 1), (7, c, "en", "a", 1), (7, d, "en", "a", 1), (8, d, "en", "a", 1)]
+    docs = spark.read.parquet(folder(tmp_path / "t", rows) + "/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert Counter(kept) == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 # --- empty tables -----------------------------------------------------------------------
 
 

@@ -229,20 +229,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of documents."""
+    """(doc_id, text_hash, fp, component_id, root) for every row of documents; `root`, a fingerprint, tells components apart where ids are null or repeated."""
     fps = settle(fingerprints(documents, shingle), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     comp = components(links(classes.select("fp"), radius))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    by_fp = named.join(ids, "root").select("fp", "component_id", "root")
+    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One document of each component, the one of smallest doc_id; columns as they were."""
     near = settle(near_duplicates(documents, shingle, radius), "near-duplicates")
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     rows = packed(documents, F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     kept = rows.join(first.distinct(), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
     if near.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
