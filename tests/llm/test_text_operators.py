@@ -18,6 +18,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tomeweave.llm import decontaminate, licenses, secrets, simhash, suffixes
 from tomeweave.llm.common import words_of
 
@@ -332,6 +333,28 @@ def test_keep_one_tells_components_apart_without_ids(spark, tmp_path):
     assert Counter(kept) == Counter([(None, a), (None, b), (7, c), (7, d)])
 
 
+def test_pipeline_drops_copies_of_five_word_similarity(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        w = prose(rng, 300).split()
+        rows.append((i, " ".join(w), "en", "a", 1))
+        for j in range(2 + i % 8):
+            w[10 + j * 28] = f"edit{i}"
+        rows.append((100 + i, " ".join(w), "en", "a", 1))
+    rows += [(200 + i, f"short text {i}", "en", "a", 1) for i in range(5)] + [(300, None, "en", "a", 1)]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((r[1] or "").split() for r in rows)]
+    root = list(range(len(rows)))
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    for i, j in combinations(range(len(rows)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3 or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    want = {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in root}
+    docs = spark.read.parquet(folder(tmp_path / "t", rows, extra=True) + "/documents.parquet")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert {r.doc_id for r in out.collect()} == want and out.columns == docs.columns
+
+
 # --- empty tables -----------------------------------------------------------------------
 
 
