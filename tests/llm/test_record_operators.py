@@ -289,6 +289,31 @@ def test_vectors_apart_have_ten_neighbours(spark, tmp_path):
     assert compare(got, brute_near(rows)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["scattered", "clustered", "split"])
+def test_recall_and_replicas(spark, tmp_path, kind):
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rng = np.random.default_rng(8)
+    n = 4000 if kind == "scattered" else 6000
+    x = unit(rng.normal(size=(n, 64)))
+    if kind != "scattered":
+        x = unit(unit(rng.normal(size=(60, 64)))[rng.integers(60, size=n)] + rng.normal(size=(n, 64)) / 8)
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    more = {"per_list": 8, "sample": 400, "fan": 16} if kind == "split" else {"per_list": 32}  # split: long lists get centroids of their own
+    got = neighbours.nearest_neighbours(frame, **more).collect()
+    assert len(got) == n // 10 and compare(got, brute_near(rows)) >= 0.9
+    graph = neighbours.Centroids(neighbours.split_share(x, n // 32))
+    held = np.isfinite(neighbours.listed(graph, x, 4, 1.02)[1]).sum(1)
+    assert held.min() == 1 and held.max() > 1 and held.mean() > 1.02  # boundary vectors are in several lists
+
+
+def test_neighbours_under_one_id(spark):
+    """Equal ids of different vectors are rows of their own, and other columns don't matter."""
+    rows = [(100, [1.0, 0.0], "x", 1.0), (7, [1.0, 0.1], "y", 2.0), (7, [1.0, 0.2], "z", 3.0), (8, [1.0, 0.3], None, None)]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string, dist double")).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 7), (2, 7), (3, 8)]
+
+
 def test_recall_on_all_vectors(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{BIG}/embeddings.parquet").collect()]
     assert compare(neighbours.op4_neighbours(spark, BIG).collect(), brute_near(rows)) >= 0.9

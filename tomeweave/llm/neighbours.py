@@ -6,18 +6,23 @@
    split until each holds at most its share of a posting list. Every class is then indexed.
 3. A proximity graph joins the centroids; a best-first walk over it finds the centroids near a
    vector, for indexing and for searching.
-4. A vector goes to its nearest centroid's list and, if it lies near a boundary (within `spill`
-   times the nearest distance), to up to `copies` lists, but to none whose centroid is nearer to
-   one already chosen than to the vector.
-5. A query reads its nearest lists until they hold a full answer, each member counted in one list
-   only, and all lists whose centroid is within `ratio` times the distance of the last of these.
-   If the lists that the walk finds hold less, all lists are tried. Lists longer than `part` are dealt into parts by hash, each searched by itself.
-6. Distances are taken in double precision on the original vectors, in blocks; each list returns
-   its best, and the best over all lists remain.
+4. A vector near a boundary goes to several lists: to up to `copies` whose centroid is within
+   `spill` times the distance of the nearest.
+5. Lists that grow beyond four times `per_list` get centroids of their own, fitted in tasks on a
+   bounded sample of each list, and are split by these, level after level, each with a ratio of its own, so that lists stay
+   bounded however many vectors there are. Only the first level is held in memory everywhere.
+6. A query reads the lists whose centroid is within a ratio of its third nearest's distance, and in
+   any case its nearest lists until they hold a full answer, each member counted in one list only;
+   if that takes more than one list, those up to 1.4 times as far as well.
+   The ratio is calibrated on the sample, as the least that finds the share `aim` of the sample's own
+   neighbours: vectors in clusters are found in few lists, vectors without structure need many.
+7. Lists and the queries that meet in one are dealt into parts of at most about `part` rows.
+   Distances are taken in double precision on the original vectors, in blocks; each part returns
+   its best, and the best over all remain.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of
 another length than the commonest (the shorter if even) or rows without an id. Equal rows count
-each. An empty table gives no rows. Other columns are ignored.
+each. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ class Centroids:
     """Centroids and the graph over them."""
 
     def __init__(self, centres: np.ndarray, degree: int = 24):
-        self.centres = centres
+        self.centres, self.norms = centres, (centres**2).sum(1)
         n = len(centres)
         near = np.empty((n, min(degree, n)), np.int64)
         for at in range(0, n, 1024):
@@ -52,7 +57,7 @@ class Centroids:
         self.links = np.concatenate([near, far], 1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
 
-    def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """For each row of x the `width` centroids that a best-first walk finds, nearest first, and their distances."""
         n, width = len(self.centres), min(width, len(self.centres))
         q, rows = len(x), np.arange(len(x))
@@ -65,7 +70,7 @@ class Centroids:
         while len(live):
             fresh = ~seen[live[:, None], new]
             seen[live[:, None], new] = True
-            d = np.sqrt(((self.centres[new] - x[live][:, None, :]) ** 2).sum(2))
+            d = np.sqrt(np.maximum(self.norms[new] + (x[live] ** 2).sum(1)[:, None] - 2 * np.einsum("qnd,qd->qn", self.centres[new], x[live]), 0))
             d[~fresh] = np.inf
             ids = np.concatenate([beam[live], new], 1)
             ds = np.concatenate([dist[live], d], 1)
@@ -78,12 +83,14 @@ class Centroids:
             ds[twice] = np.inf
             order = np.argsort(ds, 1, kind="stable")[:, :width]
             beam[live], dist[live], done[live] = (np.take_along_axis(v, order, 1) for v in (ids, ds, fin))
+            # the next `step` centroids of each beam that were not left yet
             open_ = ~done[live] & np.isfinite(dist[live])
-            step = open_.argmax(1)
-            going = open_[np.arange(len(live)), step]
-            live, step = live[going], step[going]
-            done[live, step] = True
-            new = self.links[beam[live, step]]
+            going = open_.any(1)
+            live, open_ = live[going], open_[going]
+            order = np.argsort(~open_, 1, kind="stable")[:, :step]
+            order = np.where(np.take_along_axis(open_, order, 1), order, order[:, :1])
+            done[live[:, None], order] = True
+            new = self.links[beam[live[:, None], order]].reshape(len(live), order.shape[1] * self.links.shape[1])
         return beam, dist
 
 
@@ -126,87 +133,212 @@ def classes(rows: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
 
 
-def listed(df: DataFrame, centroids, width: int, factor: float, most: int, spread: bool, held: np.ndarray | None = None) -> DataFrame:
-    """df (rep, v, members) with a row for each list: those within `factor` times the nearest distance, `most` at most; spread: none nearer to a chosen one.
+def split_share(x: np.ndarray, clusters: int) -> np.ndarray:
+    return balanced(x, max(1, len(x) // max(1, clusters)))
 
-    With `held`, the members of each list, the distance is that of the list with which NEAREST + 1 members are reached. `first` marks a row's nearest list.
-    """
 
-    def reach(ids: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place and distance of the list with which enough members are reached; distance infinite if they are not."""
-        enough = np.cumsum(np.where(np.isfinite(dist), held[np.maximum(ids, 0)], 0), 1) > NEAREST
-        place = enough.argmax(1)
-        return place, np.where(enough.any(1), dist[np.arange(len(ids)), place], np.inf)
+def calibrated(x: np.ndarray, centres: np.ndarray, place, aim: float, tries: int = 256) -> tuple[float, int]:
+    """The ratio within which the share `aim` of the neighbours of some sample vectors is found in the sample, and how many lists are within it for nine of ten. place: the lists of vectors and their distances."""
+    asked = np.random.default_rng(9).permutation(len(x))[:tries]
+    keep = min(NEAREST, len(x) - 1)
+    if not keep:
+        return 1.0, len(centres)
+    far = np.sqrt(squared(x[asked], centres))
+    third = measure_of(np.sort(far, 1))
+    close = squared(x[asked], x)
+    close[np.arange(len(asked)), asked] = np.inf
+    close = np.argpartition(close, keep - 1, 1)[:, :keep]
+    ids, dist = place(x[close.ravel()])
+    ratio = np.where(np.isfinite(dist), far[np.repeat(np.arange(len(asked)), keep)[:, None], np.maximum(ids, 0)], np.inf).min(1) / np.repeat(third, keep)
+    ratio = max(1.0, float(np.quantile(ratio, aim)))
+    return ratio, int(np.quantile((far <= ratio * third[:, None]).sum(1), 0.9))
+
+
+def measure_of(dist: np.ndarray) -> np.ndarray:
+    """What ratios are taken of: the distance of the third centroid, as the nearest may be the vector's own. dist is sorted."""
+    return np.maximum(dist[:, min(2, dist.shape[1] - 1)], 1e-12)
+
+
+def listed(graph: Centroids, x: np.ndarray, copies: int, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of the first level that vectors go to, nearest first, and the distances (infinite: none)."""
+    ids, dist = graph.nearest(x, 32)
+    ids, dist = ids[:, :copies], dist[:, :copies]
+    return ids, np.where(dist <= spill * dist[:, :1] + 1e-12, dist, np.inf)
+
+
+def divided(centres: np.ndarray, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same within a list that is split: two at most."""
+    far = np.sqrt(squared(x, centres))
+    ids = np.argsort(far, 1, kind="stable")[:, :2]
+    dist = np.take_along_axis(far, ids, 1)
+    return ids, np.where(dist <= spill * dist[:, :1] + 1e-12, dist, np.inf)
+
+
+def reach(dist: np.ndarray, held: np.ndarray, ratio: float, apart: float = 1.4) -> np.ndarray:
+    """Which lists, in order of distance, are read: those within the ratio, and the nearest until they hold NEAREST + 1 members. A query whose nearest list holds fewer lies apart from most: it reads all within `apart` times the distance at which it has enough."""
+    before = np.cumsum(np.where(np.isfinite(dist), held, 0), 1) - held
+    needed = np.isfinite(dist) & (before <= NEAREST)
+    far = np.where(needed.sum(1) > 1, apart * np.where(needed, dist, 0).max(1), 0)
+    return np.isfinite(dist) & (needed | (dist <= np.maximum(ratio * measure_of(dist), far)[:, None] + 1e-12))
+
+
+def vectors_of(column: pa.Array, rows: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, len(flat) // max(1, rows))
+
+
+POSTED = "rep long, v array<double>, members array<long>, list long, first boolean"
+PROBED = "rep long, v array<double>, list long, dist double"
+
+
+def posted(classes: DataFrame, graph, copies: int, spill: float) -> DataFrame:
+    """classes (rep, v, members) with a row for each list of the first level; `first` marks the nearest."""
 
     def deal(batches):
-        graph = centroids()
+        own = graph()
         for batch in batches:
-            size = len(batch.column(1).values) // max(1, batch.num_rows)
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, size)
-            takes, lists, firsts = [], [], []
+            x = vectors_of(batch.column(1), batch.num_rows)
             for at in range(0, len(x), 512):
-                ids, dist = graph.nearest(x[at : at + 512], width)
-                full = dist[:, 0] if held is None else reach(ids, dist)[1]
-                good = np.isfinite(dist) & (dist <= factor * full[:, None] + 1e-12)
-                good[:, most:] &= not spread
-                if spread:
-                    c = graph.centres[np.maximum(ids, 0)]
-                    for j in range(1, min(most, ids.shape[1])):
-                        apart = np.sqrt(((c[:, :j] - c[:, j : j + 1]) ** 2).sum(2))
-                        good[:, j] &= ~((apart < dist[:, j : j + 1]) & good[:, :j]).any(1)
-                for i in np.flatnonzero(np.isinf(full)):  # the walk's lists hold too few
-                    good[i] = False
-                    far = np.sqrt(squared(x[at + i : at + i + 1], graph.centres))
-                    order = np.argsort(far, 1, kind="stable")
-                    place, end = reach(order, np.take_along_axis(far, order, 1))
-                    near = order[0][: max(width, place[0] + 1)] if np.isfinite(end[0]) else order[0]
-                    near = near[far[0][near] <= factor * end[0] + 1e-12]
-                    takes.append(np.full(len(near), at + i))
-                    lists.append(near)
-                    firsts.append(np.arange(len(near)) == 0)
-                r, k = np.nonzero(good)
-                takes.append(r + at)
-                lists.append(ids[r, k])
-                firsts.append(k == 0)
-            rows = pa.array(np.concatenate(takes) if takes else np.empty(0, np.int64))
-            taken = batch.take(rows)
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)), pa.array(np.concatenate(firsts) if firsts else np.empty(0, bool))], [*batch.schema.names, "list", "first"])
-
-    return df.mapInArrow(deal, "rep long, v array<double>, members array<long>, list int, first boolean")
-
-
-def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20_000, per_list: int = 128, copies: int = 4, spill: float = 1.1, ratio: float = 1.4, width: int = 96, part: int = 2048) -> DataFrame:
+                ids, dist = listed(own, x[at : at + 512], copies, spill)
+                r, k = np.nonzero(np.isfinite(dist))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(r + at)).columns, pa.array(ids[r, k].astype(np.int64)), pa.array(k == 0)], ["rep", "v", "members", "list", "first"])
+
+    return classes.mapInArrow(deal, POSTED)
+
+
+def probed(queries: DataFrame, graph, width: int, ratio: float, held: np.ndarray) -> DataFrame:
+    """queries (rep, v) with a row for each list of the first level that they read, and its centroid's distance."""
+
+    def deal(batches):
+        own = graph()
+        n = len(own.centres)
+        for batch in batches:
+            x = vectors_of(batch.column(1), batch.num_rows)
+            for at in range(0, len(x), 256):
+                some = x[at : at + 256]
+                whole = np.arange(len(some))
+                if 4 * width < n:
+                    ids, dist = own.nearest(some, width)
+                    good = reach(dist, held[np.maximum(ids, 0)], ratio)
+                    r, k = np.nonzero(good)
+                    # where the last list found is read, there may be more: these see all
+                    whole = np.flatnonzero(good[:, -1])
+                    mine = ~np.isin(r, whole)
+                    r, k = r[mine], k[mine]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(r + at)).columns, pa.array(ids[r, k].astype(np.int64)), pa.array(dist[r, k])], ["rep", "v", "list", "dist"])
+                far = np.sqrt(squared(some[whole], own.centres))
+                order = np.argsort(far, 1, kind="stable")
+                dist = np.take_along_axis(far, order, 1)
+                r, k = np.nonzero(reach(dist, held[order], ratio))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(whole[r] + at)).columns, pa.array(order[r, k].astype(np.int64)), pa.array(dist[r, k])], ["rep", "v", "list", "dist"])
+
+    return queries.select("rep", "v").mapInArrow(deal, PROBED)
+
+
+def sized(postings: DataFrame) -> DataFrame:
+    """(list, n, held): rows of each list, and members of those that are there first."""
+    return settle(postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.when(F.col("first"), F.size("members")).otherwise(0)).alias("held")), "list-sizes")
+
+
+def refined(postings: DataFrame, probes: DataFrame, sizes: DataFrame, per_list: int, part: int, aim: float, spill: float, fan: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, probes and sizes with each list of over 4 times per_list split into up to `fan`."""
+    subs = F.least(F.lit(fan), F.ceil(F.col("n") / per_list)).cast("int")
+    cut = settle(sizes.where(F.col("n") > 4 * per_list).select("list", "n", subs.alias("subs"), F.ceil(F.col("n") / part).cast("int").alias("parts")), "long-lists")
+    drawn = postings.join(cut, "list").where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 20)) < F.lit(1 << 20) * 8 * F.col("subs") / F.col("n"))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(group["v"].to_numpy())
+        centres = split_share(x, int(group["subs"].iloc[0]))[:fan]
+        ratio, _ = calibrated(x, centres, lambda v: divided(centres, v, spill), aim, 64)
+        return pd.DataFrame({"list": group["list"].iloc[0], "sub": np.arange(len(centres)), "centre": list(centres), "ratio": ratio})
+
+    # about 8 rows a centroid, 8 times fan at most
+    centres = settle(drawn.select("list", "subs", "v").groupBy("list").applyInPandas(fit, "list long, sub long, centre array<double>, ratio double"), "list-centres")
+    dealt = postings.join(cut.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    each = centres.join(cut.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "list")
+
+    def move(rows: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(c):
+            return rows[["rep", "v", "members", "list", "first"]].assign(list=rows["list"] * fan)
+        sub = c["sub"].to_numpy()
+        order, dist = divided(np.stack(c["centre"].to_numpy()), np.stack(rows["v"].to_numpy()), spill)
+        r, k = np.nonzero(np.isfinite(dist))
+        out = rows[["rep", "v", "members", "list", "first"]].iloc[r].copy()
+        out["list"] = out["list"].to_numpy() * fan + sub[order[r, k]]
+        out["first"] = out["first"].to_numpy() & (k == 0)
+        return out
+
+    moved = dealt.groupBy("list", "part").cogroup(each.groupBy("list", "part")).applyInPandas(move, POSTED)
+    kept = postings.join(cut, "list", "left_anti").withColumn("list", F.col("list") * fan).select("rep", "v", "members", "list", "first")
+    postings = settle(kept.unionByName(moved), "postings")
+    sizes = sized(postings)
+    # the same for the queries
+    held = centres.withColumn("_to", F.col("list") * fan + F.col("sub")).join(sizes.select(F.col("list").alias("_to"), "held"), "_to", "left").select("list", "sub", "centre", "ratio", F.coalesce("held", F.lit(0)).alias("held"))
+    many = probes.join(cut.select("list"), "list").groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    many = settle(many, "query-parts")
+    asked = probes.join(many, "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    each = held.join(many.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "list")
+
+    def look(rows: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(c):
+            return rows[["rep", "v", "list", "dist"]].assign(list=rows["list"] * fan)
+        far = np.sqrt(squared(np.stack(rows["v"].to_numpy()), np.stack(c["centre"].to_numpy())))
+        order = np.argsort(far, 1, kind="stable")
+        dist = np.take_along_axis(far, order, 1)
+        r, k = np.nonzero(reach(dist, c["held"].to_numpy().astype(np.int64)[order], float(c["ratio"].iloc[0])))
+        out = rows[["rep", "v", "list", "dist"]].iloc[r].copy()
+        out["list"] = out["list"].to_numpy() * fan + c["sub"].to_numpy()[order[r, k]]
+        out["dist"] = dist[r, k]
+        return out
+
+    looked = asked.groupBy("list", "part").cogroup(each.groupBy("list", "part")).applyInPandas(look, PROBED)
+    same = probes.join(cut, "list", "left_anti").withColumn("list", F.col("list") * fan).select("rep", "v", "list", "dist")
+    return postings, settle(same.unionByName(looked), "probes"), sizes
+
+
+def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20_000, per_list: int = 128, copies: int = 4, spill: float = 1.02, aim: float = 0.97, part: int = 2048, fan: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the 10 nearest found of each row whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 4096:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = settle(usable(embeddings), "vectors")
-    whole = settle(classes(rows).withColumn("rep", F.col("members")[0]).select("rep", "v", "members"), "vector-classes")
+    whole = settle(classes(rows).select(F.monotonically_increasing_id().alias("rep"), "v", "members"), "vector-classes")
     count = whole.count()
     result = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], result)
-    drawn = whole.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
-    x = np.array([r.v for r in drawn])
+    drawn = whole.select("v", F.xxhash64("v").alias("_h"), F.col("members")[0].alias("_low")).orderBy("_h", "_low").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    x = vectors_of(drawn, len(drawn))
     # as many lists as the classes need, 8 sample rows each at least
-    clusters = max(1, min(count // per_list, len(x) // 8))
-    centres = balanced(x, max(1, len(x) // clusters))
-    centroids = ship(spark, Centroids(centres))
-    postings = settle(listed(whole, centroids, 16, spill, copies, True), "postings")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))  # a row per list
+    centres = split_share(x, max(1, min(count // per_list, len(x) // 8)))
+    own = Centroids(centres)
+    ratio, width = calibrated(x, centres, lambda v: listed(own, v, copies, spill), aim)
+    width = max(16, width * 5 // 4)
+    graph = ship(spark, own)
+    postings = settle(posted(whole, graph, copies, spill), "postings")
+    sizes = sized(postings)
     held = np.zeros(len(centres), np.int64)
-    for r in postings.where("first").groupBy("list").agg(F.sum(F.size("members")).alias("n")).collect():  # a row per list
-        held[r.list] = r.n
+    for r in sizes.collect():  # the first level's lists, at most `sample` / 8
+        held[r.list] = r.held
     asked = rows.where(F.col("vec_id") % every == 0)
-    queries = asked.select("v").distinct().join(whole, "v").select("rep", "v", "members")
-    probes = listed(queries, centroids, width, ratio, width, False, held).join(F.broadcast(parts), "list").select("rep", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = postings.join(F.broadcast(parts), "list").select("rep", "v", "members", "list", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    queries = settle(asked.select("v").distinct().join(whole, "v").select("rep", "v"), "queries")
+    probes = settle(probed(queries, graph, width, ratio, held), "probes")
+    longest = None
+    while (n := sizes.agg(F.max("n")).first()[0]) is not None and n > 4 * per_list and n != longest:
+        longest = n
+        postings, probes, sizes = refined(postings, probes, sizes, per_list, part, aim, spill, fan)
+    parts = sizes.select("list", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    groups = settle(probes.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("groups")).join(parts, "list"), "list-parts")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    sought = probes.join(groups, "list").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("groups")).cast("int")).select("rep", "v", "list", "group", upto("parts").alias("part"))
+    dealt = postings.join(groups, "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("rep", "v", "members", "list", "part", upto("groups").alias("group"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "rep": [], "score": [], "members": []}
+        out = {"query": [], "rep": [], "low": [], "score": [], "members": []}
         if len(q) and len(p):
             b = np.stack(p["v"].to_numpy())
-            low, reps, members = p["rep"].to_numpy(), p["rep"].to_numpy(), p["members"].to_numpy()
+            reps, members = p["rep"].to_numpy(), p["members"].to_numpy()
+            low = np.array([m[0] for m in members])
             keep = min(NEAREST + 1, len(b))
             for at in range(0, len(q), 256):
                 a = np.stack(q["v"].iloc[at : at + 256].to_numpy())
@@ -218,14 +350,16 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
                     for k in np.lexsort((low[j], d))[:keep]:
                         out["query"].append(rep)
                         out["rep"].append(reps[j[k]])
+                        out["low"].append(low[j[k]])
                         out["score"].append(d[k])
                         out["members"].append(members[j[k]])
-        kinds = {"query": "int64", "rep": "int64", "score": "float64", "members": "object"}
+        kinds = {"query": "int64", "rep": "int64", "low": "int64", "score": "float64", "members": "object"}
         return pd.DataFrame({k: pd.Series(v, dtype=kinds[k]) for k, v in out.items()})
 
-    found = probes.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(search, "query long, rep long, score double, members array<long>")
+    meet = ["list", "part", "group"]
+    found = sought.groupBy(*meet).cogroup(dealt.groupBy(*meet)).applyInPandas(search, "query long, rep long, low long, score double, members array<long>")
     found = found.dropDuplicates(["query", "rep"])
-    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))).where(F.col("_n") <= NEAREST + 1)
+    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "low", "rep"))).where(F.col("_n") <= NEAREST + 1)
     best = best.groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("near"))
     # back to the rows: each query of a class meets the same members, less itself
     each = asked.join(queries.select("v", F.col("rep").alias("query")), "v").select(F.col("vec_id").alias("query_id"), "query").join(best, "query")
