@@ -14,6 +14,7 @@ from itertools import combinations
 from urllib.parse import quote
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -295,23 +296,57 @@ def test_links_and_components_of_any_fingerprints(spark):
             fps.add(f)
     fps |= {(1 << 63) | i for i in range(400)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    classes = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(5)
-    got = {r.node: r.root for r in simhash.components(simhash.links(classes, 3)).collect()}
+    classes = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(5).withColumn("table", simhash.pivot_table(F.col("fp")))
     want = brute_components(signed, [f & ((1 << 64) - 1) for f in signed])
-    assert {f: got.get(f, f) for f in signed} == dict(zip(signed, want))
+    for crowd in (simhash.CROWD, 16):  # few rows to a block: crowds are dealt by further blocks
+        got = {r.node: r.root for r in simhash.components(simhash.links(classes, 3, crowd)).collect()}
+        assert {f: got.get(f, f) for f in signed} == dict(zip(signed, want))
 
 
-def test_crowds_are_dealt_by_further_blocks(monkeypatch):
-    import numpy as np
+def test_finer_blocks_keep_every_near_pair():
+    rng = random.Random(3)
+    for mask in (0, 0xFFFF, 0xFF00FF00FF00FF00):
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            free = [i for i in range(64) if not mask >> i & 1]
+            b = a ^ sum(1 << i for i in rng.sample(free, rng.randrange(4)))
+            assert any(a & m == b & m for m in simhash.finer(mask, 3)) and all(m & mask == mask and m != mask for m in simhash.finer(mask, 3))
 
-    monkeypatch.setattr(simhash, "CROWD", 64)
-    rng = np.random.default_rng(2)
-    fps = np.unique(rng.integers(0, 1 << 24, 600, dtype=np.uint64) << np.uint64(20))
-    a, b = map(np.concatenate, zip(*simhash.crowd_links(fps, 3, (1 << 64) - 1)))
-    index = {int(f): i for i, f in enumerate(fps)}
-    root = simhash.roots_of(len(fps), np.array([index[int(x)] for x in a]), np.array([index[int(x)] for x in b]))
-    want = brute_components(list(range(len(fps))), [int(f) for f in fps])
-    assert root.tolist() == want
+
+def shingle_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) > size else {b" ".join(w)} - {b""}
+
+
+def test_similar_texts_are_linked_as_by_brute_force(spark, tmp_path):
+    """Near copies of one text in many versions, chains of versions, and pairs on both sides of the limit."""
+    rng = random.Random(12)
+    rows = odd_rows()
+    for i in range(6):
+        w = prose(rng, 200).split()
+        for j in range(20):
+            own = list(w) if i % 2 else w  # versions of one text, or a chain of versions
+            for _ in range(rng.randrange(1, 9)):
+                own[rng.randrange(200)] = f"edit{rng.randrange(1000)}"
+            rows.append((7000 + 20 * i + j, " ".join(own), "en", "a", 1))
+    docs = spark.read.parquet(folder(tmp_path / "t", rows, extra=True) + "/documents.parquet")
+    got = simhash.near_duplicates(docs, similarity=0.8).collect()
+    texts = [r[1] for r in rows]
+    sets, fps = [shingle_set(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or both and both >= 0.8 * len(sets[i] | sets[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    want = Counter(Counter(find(i) for i in range(len(rows))).values())
+    assert Counter(Counter(r.root for r in got).values()) == want and max(want) >= 10
 
 
 def test_keep_one_document_of_each_component(spark, tmp_path):

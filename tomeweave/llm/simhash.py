@@ -10,23 +10,28 @@ How links are found without forming all pairs:
 2. Fingerprints are cut into blocks. Two that differ in at most r bits agree on at least
    (blocks - r) whole blocks, so rows are dealt by each choice of that many blocks. The number of
    blocks follows the number of classes, which keeps the rows that meet few.
-3. Where rows meet, their Hamming distances to many reference fingerprints (pivots) are
-   tabled. By the triangle inequality a pair is out if any coordinate differs by more than r;
-   rows are walked in the order of the first coordinate, the others discard, and survivors
-   are verified bit by bit.
-4. Each meeting place returns only a spanning forest of its links, never its pairs; where very
-   many meet they are dealt again by further blocks.
+3. The table of each class's Hamming distances to many reference fingerprints (pivots) is
+   computed once. By the triangle inequality a pair is out if any coordinate differs by more than r:
+   where rows meet they are walked in the order of the first coordinate, the others discard, and
+   survivors are verified bit by bit.
+4. Blocks on which more than `CROWD` classes agree are dealt again by further blocks before they
+   meet in a task, until they are smaller or at most 16 bits are free, which bounds them. Each
+   meeting place returns only a spanning forest of its links, never its pairs.
 5. Components come from alternating large-star and small-star rounds, each settled in the
    shared folder.
 
 Given a `similarity`, texts whose sets of five-word shingles have that Jaccard similarity are linked
-as well. Candidates share a band of MinHashes (a pair of similarity 0.8 is missed once in about
-2000) or are linked above; the texts that candidates reach are brought together once and compared
-exactly.
-
-Null and empty texts have fingerprint zero, linked like any other. Repeated rows and equal
-doc_ids are harmless; a null doc_id is never chosen as a component's name unless it has no
-other. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+as well. SimHash can't find these: at similarity 0.8 two fingerprints differ in about ten bits, too
+many for blocks. Candidates share a band of MinHashes (a pair of similarity 0.8 is missed once in
+about 2000). Within a band's bucket a few texts at a time, taken from the smaller groups, are compared
+exactly with all others that nothing links to them yet; then they leave the bucket, until all that is
+left there is linked. So no link is lost, and a bucket of copies takes one comparison a text. Texts
+are compared in streams that hold one text at a time, dealt into parts where many meet one.
+
+Null and empty texts have fingerprint zero, linked like any other. Texts of any length are read
+whole. Repeated rows and equal doc_ids are harmless; a null doc_id is never chosen as a component's
+name unless it has no other. An empty table gives an empty result. Columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +39,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, settle, small_batches, table, unpacked
 
 BITS = 64
-#: Above so many in one meeting place, rows are dealt again by further blocks.
-CROWD = 16384
+#: Above so many in one meeting place, rows are dealt again by further blocks; with so few free bits they are not.
+CROWD, FEW_BITS = 16384, 16
+#: Texts that are compared with one text by one task, at most about; texts of a bucket compared with all others in one round, at most.
+STREAM, HUBS = 512, 64
 #: MinHash bands and hashes in each; words of a shingle for similarity.
 BANDS, DEPTH, WORDS = 32, 7, 5
 
@@ -118,6 +124,11 @@ def pivots(count: int = 16) -> np.ndarray:
     return np.random.default_rng(20240607).integers(0, 1 << 64, count, dtype=np.uint64)
 
 
+def pivot_table(fp: Column) -> Column:
+    """The Hamming distance of a fingerprint to each pivot, a byte each."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(int(p)))).cast("byte") for p in pivots().view(np.int64)])
+
+
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n reaches over the links a-b."""
     root = np.arange(n)
@@ -132,12 +143,12 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by group: the row that each is linked to (itself if none), a spanning forest of links of at most radius bits within groups."""
+def forest(fps: np.ndarray, table: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by group, with their pivot table: the row that each is linked to (itself if none), a spanning forest of links of at most radius bits within groups."""
     n = len(fps)
     if n < 2:
         return np.arange(n)
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+    table = table.astype(np.int16)
     order = np.lexsort((table[:, 0], group))
     fps, group, table = fps[order], group[order], table[order]
     last = np.searchsorted(group, group, side="right")
@@ -169,71 +180,66 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def crowd_links(fps: np.ndarray, radius: int, free: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among fingerprints that agree on all bits but those of the mask `free`; crowds are dealt by further blocks of those bits."""
-    bits = [1 << i for i in range(BITS) if free >> i & 1]
-    if len(fps) <= CROWD or len(bits) <= 4 * (radius + 1):
-        root = forest(fps, np.zeros(len(fps), np.int64), radius)
-        i = np.flatnonzero(root != np.arange(len(fps)))
-        return [(fps[i], fps[root[i]])]
-    found = []
-    for part in np.array_split(np.array(bits, dtype=np.uint64), radius + 1):
-        mask = np.bitwise_or.reduce(part)
-        own = fps & mask
-        order = np.argsort(own, kind="stable")
-        cut = np.flatnonzero(np.diff(own[order])) + 1
-        for member in np.split(order, cut):
-            if len(member) > 1:
-                found += crowd_links(fps[member], radius, free & ~int(mask))
-    return found
-
-
-def links(classes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links between different fingerprints of classes(fp), a spanning forest per meeting place."""
-    count = classes.count()
-    masks = blocks_of(count)
-    keys = []
-    for i, chosen in enumerate(combinations(masks, len(masks) - radius)):
-        mask = sum(chosen)
-        keys.append(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    free = [((1 << 64) - 1) & ~sum(chosen) for chosen in combinations(masks, len(masks) - radius)]
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """The mask with each of radius + 1 blocks of the bits that it leaves free: two rows that differ in at most radius bits agree on one of these."""
+    free = [1 << i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(free[len(free) * i // (radius + 1) : len(free) * (i + 1) // (radius + 1)]) for i in range(radius + 1)]
+
+
+def dealt(classes: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """(mask, key, fp, table): rows of classes (fp, table) by the blocks on which they may agree."""
+    blocks = blocks_of(classes.count())
+    masks = [sum(chosen) for chosen in combinations(blocks, len(blocks) - radius)]
+    by = lambda df, own: df.select(F.explode(own).alias("mask"), "fp", "table").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp", "table")
+    rows, done = by(classes, F.array(*[F.lit(signed(m)) for m in masks])), None
+    while masks and BITS - max(m.bit_count() for m in masks) > FEW_BITS:
+        crowded = settle(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("mask", "key"), "crowded")
+        if crowded.isEmpty():
+            break
+        apart = rows.join(crowded, ["mask", "key"], "left_anti")
+        done = apart if done is None else done.unionByName(apart)
+        into = F.lit(None).cast("array<bigint>")
+        for m in masks:  # a few hundred at most
+            into = F.when(F.col("mask") == signed(m), F.array(*[F.lit(signed(x)) for x in finer(m, radius)])).otherwise(into)
+        rows = settle(by(rows.join(crowded, ["mask", "key"], "left_semi"), into), "crowd")
+        masks = sorted({signed(x) & ((1 << 64) - 1) for m in masks for x in finer(m, radius)})
+    return rows if done is None else done.unionByName(rows)
+
+
+def links(classes: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between different fingerprints of classes (fp, table), a spanning forest per meeting place."""
 
     def meet(batches):
         rest = None
 
-        def linked(way, key, fp):
-            edge = np.concatenate(([True], (way[1:] != way[:-1]) | (key[1:] != key[:-1])))
-            group = np.cumsum(edge) - 1
-            size = np.bincount(group)
-            big = size[group] > CROWD
-            out = []
-            if not big.all():
-                f, g = fp[~big], group[~big]
-                root = forest(f, g, radius)
-                i = np.flatnonzero(root != np.arange(len(f)))
-                out.append((f[i], f[root[i]]))
-            for g in np.flatnonzero(size > CROWD):
-                at = np.flatnonzero(group == g)
-                out += crowd_links(fp[at], radius, free[int(way[at[0]])])
-            a, b = (np.concatenate(x).astype(np.uint64).view(np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def linked(mask, key, fp, table):
+            group = np.cumsum(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))) - 1
+            root = forest(fp, table, group, radius)
+            i = np.flatnonzero(root != np.arange(len(fp)))
+            return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[root[i]].view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            way, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.astype(np.int64).view(np.uint64)
+            mask, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            table = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(fp), -1)
+            own = mask, key, fp.astype(np.int64).view(np.uint64), table
             if rest:
-                way, key, fp = (np.concatenate(x) for x in zip(rest, (way, key, fp)))
+                own = tuple(np.concatenate(x) for x in zip(rest, own))
+            mask, key = own[:2]
             # the last group may go on in the next batch
-            same = np.flatnonzero((way != way[-1]) | (key != key[-1]))
+            same = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
             cut = int(same[-1]) + 1 if len(same) else 0
-            rest = (way[cut:], key[cut:], fp[cut:])
+            rest = tuple(x[cut:] for x in own)
             if cut:
-                yield linked(way[:cut], key[:cut], fp[:cut])
+                yield linked(*(x[:cut] for x in own))
         if rest and len(rest[0]):
             yield linked(*rest)
 
-    dealt = classes.select("fp", F.inline(F.array(*keys))).select("way", "key", "fp")
-    return dealt.repartition("way", "key").sortWithinPartitions("way", "key").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    rows = dealt(classes, radius, crowd)
+    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -256,68 +262,69 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def alike(texts: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between texts that share a band and whose shingles have this Jaccard similarity."""
-    grams = [np.unique(shingle_hashes(t, WORDS)) for t in texts]
-    buckets: dict[int, list[int]] = {}
-    for i, g in enumerate(grams):
-        for key in band_keys(g).tolist():
-            buckets.setdefault(key, []).append(i)
-    up, found = list(range(len(texts))), []
-
-    def find(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def similar(i, j):
-        a, b = len(grams[i]), len(grams[j])
-        if min(a, b) < similarity * max(a, b):
-            return False
-        both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-        return both >= similarity * (a + b - both)
-
-    # each text meets the groups formed so far, each only until one of its texts is similar
-    for bucket in buckets.values():
-        groups: dict[int, list[int]] = {}
-        for i in bucket:
-            own = groups.pop(find(i), [])
-            for root, members in list(groups.items()):
-                if (j := next((j for j in members if similar(i, j)), None)) is not None:
-                    found.append((i, j))
-                    up[find(j)] = find(i)
-                    own += groups.pop(root)
-            groups[find(i)] = [*own, i]
-    return found
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 0 if one is empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (h, hfp, t, tfp) of text hashes and fingerprints those (a, b), as fingerprints, whose texts (text_hash, text) have this similarity."""
+    pairs = settle(pairs, "pairs")
+    wanted = pairs.select(F.col("h").alias("text_hash")).unionByName(pairs.select(F.col("t").alias("text_hash"))).distinct()
+    have = settle(texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "compared")
+    many = pairs.groupBy("h").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("parts"))
+    hubs = have.join(many, have["text_hash"] == many["h"]).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    others = pairs.join(many, "h").join(have, pairs["t"] == have["text_hash"]).select("h", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("tfp").alias("a"), F.col("hfp").alias("b"), "text")
+
+    def compare(batches):
+        own = np.empty(0, np.uint64)
+        for batch in batches:
+            kind, keep = batch.column(2).to_pylist(), []
+            for i, text in enumerate(batch.column(5).cast(pa.binary())):
+                grams = np.unique(shingle_hashes(text.as_py(), WORDS))
+                if kind[i] == 0:
+                    own = grams
+                elif jaccard(own, grams) >= similarity:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    rows = hubs.unionByName(others).repartition("h", "part").sortWithinPartitions("h", "part", "kind")
+    return rows.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def similar_links(documents: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between different fingerprints of texts of this similarity; fps with bands, near: links between fingerprints."""
-    keys = fps.select("fp", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most").select("key", "b")
-    stars = keys.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    reach = components(near.unionByName(stars), "candidates")
-    members = fps.select("text_hash", "fp").distinct().join(reach.withColumnRenamed("node", "fp"), "fp")
     texts = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    together = texts.join(members, "text_hash").dropDuplicates(["text_hash"])
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        fp = group["fp"].to_numpy()
-        pairs = np.array(alike([(t or "").encode() for t in group["text"]], similarity), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
-
-    return together.groupBy("root").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    keys = fps.dropDuplicates(["text_hash"]).select(F.explode("bands").alias("key"), F.col("text_hash").alias("t"), "fp")
+    keys = settle(keys, "bands")
+    shared = keys.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("key")
+    buckets = settle(keys.join(shared, "key"), "buckets")
+    found, hubs = near, 1
+    while True:
+        roots = components(found, "groups").withColumnRenamed("node", "fp")
+        own = settle(buckets.join(roots, "fp", "left").select("key", "t", "fp", F.coalesce("root", "fp").alias("root")), "buckets")
+        # the largest group of each bucket that has several
+        groups = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("top.root").alias("most"))
+        mixed = settle(own.join(groups, "key"), "mixed")
+        if mixed.isEmpty():
+            return found
+        slot = F.pmod(F.xxhash64("t", "key"), F.lit(hubs))
+        asked = mixed.where("root <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "fp", "root")).alias("hub"))
+        asked = settle(asked.select("key", F.col("hub.t").alias("h"), F.col("hub.fp").alias("hfp"), F.col("hub.root").alias("hroot")), "hubs")
+        pairs = asked.join(mixed, "key").where("root <> hroot").select("h", "hfp", "t", F.col("fp").alias("tfp"))
+        found = settle(found.unionByName(verified(pairs.dropDuplicates(["h", "t"]), texts, similarity)).distinct(), "similar")
+        buckets = mixed.join(asked.select("key", F.col("h").alias("t")), ["key", "t"], "left_anti").select("key", "t", "fp")
+        hubs = min(HUBS, 4 * hubs)
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, root) for every row of documents; `root`, a fingerprint, tells components apart where ids are null or repeated."""
     fps = settle(fingerprints(documents, shingle, similarity is not None), "fingerprints")
-    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    linked = links(classes.select("fp"), radius)
+    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("table", pivot_table(F.col("fp"))), "classes")
+    linked = links(classes.select("fp", "table"), radius)
     if similarity is not None:
-        linked = settle(linked, "links")
-        linked = linked.unionByName(similar_links(documents, fps, linked, similarity))
+        linked = similar_links(documents, fps, settle(linked, "links"), similarity)
     comp = components(linked)
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
