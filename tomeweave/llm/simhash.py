@@ -23,10 +23,11 @@ How links are found without forming all pairs:
 Given a `similarity`, texts whose sets of five-word shingles have that Jaccard similarity are linked
 as well. SimHash can't find these: at similarity 0.8 two fingerprints differ in about ten bits, too
 many for blocks. Candidates share a band of MinHashes (a pair of similarity 0.8 is missed once in
-about 2000). Within a band's bucket a few texts at a time, taken from the smaller groups, are compared
-exactly with all others that nothing links to them yet; then they leave the bucket, until all that is
-left there is linked. So no link is lost, and a bucket of copies takes one comparison a text. Texts
-are compared in streams that hold one text at a time, dealt into parts where many meet one.
+about 2000). Within a band's bucket some texts at a time, taken from the smaller groups, are compared
+with all others that nothing links to them yet, first by sketches of their MinHashes (which lose one
+pair of similarity 0.8 in a million), then exactly; then they leave the bucket, until all that is left
+there is linked. So no link is lost, and a bucket of copies takes one comparison a text. Buckets and
+comparisons are streams that hold a few hundred sketches or one text, dealt into parts where many meet.
 
 Null and empty texts have fingerprint zero, linked like any other. Texts of any length are read
 whole. Repeated rows and equal doc_ids are harmless; a null doc_id is never chosen as a component's
@@ -36,6 +37,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -49,8 +51,8 @@ from .common import packed, settle, small_batches, table, unpacked
 BITS = 64
 #: Above so many in one meeting place, rows are dealt again by further blocks; with so few free bits they are not.
 CROWD, FEW_BITS = 16384, 16
-#: Texts that are compared with one text by one task, at most about; texts of a bucket compared with all others in one round, at most.
-STREAM, HUBS = 512, 64
+#: Texts that are compared with one text by one task, at most about; texts of a bucket in one task, at most about; texts of a bucket compared with all others in one round.
+STREAM, PART, HUBS = 512, 4096, (1, 64, 512)
 #: MinHash bands and hashes in each; words of a shingle for similarity.
 BANDS, DEPTH, WORDS = 32, 7, 5
 
@@ -78,24 +80,32 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * count > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHashes of distinct shingle hashes; none without shingles."""
-    if not len(grams):
-        return np.empty(0, np.int64)
+@functools.cache
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Of 32-bit numbers: odd factors and terms."""
     rng = np.random.default_rng(11)
-    times, plus = (rng.integers(0, 1 << 64, BANDS * DEPTH, dtype=np.uint64) for _ in range(2))
-    low = np.full(BANDS * DEPTH, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(grams), 512):
-        low = np.minimum(low, ((times | np.uint64(1))[:, None] * grams[None, at : at + 512] + plus[:, None]).min(1))
+    times, plus = (rng.integers(0, 1 << 32, (BANDS * DEPTH, 1), dtype=np.uint32) for _ in range(2))
+    return times | np.uint32(1), plus
+
+
+def band_keys(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band of MinHashes of distinct shingle hashes, and a byte of every second MinHash; none without shingles."""
+    if not len(grams):
+        return np.empty(0, np.int64), b""
+    times, plus = permutations()
+    grams = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * DEPTH, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(grams), 128):
+        np.minimum(low, (times * grams[None, at : at + 128] + plus).min(1), out=low)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in low.reshape(BANDS, DEPTH).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return key.view(np.int64), low[::2].astype(np.uint8).tobytes()
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, banded: bool = False) -> DataFrame:
-    """(doc_id, text_hash, fp): one row per row of documents; banded: and `bands`, the keys of its MinHash bands."""
+    """(doc_id, text_hash, fp): one row per row of documents; banded: and `bands`, the keys of its MinHash bands, and `sketch`, a byte of MinHashes each."""
     small_batches(documents.sparkSession)
 
     def scan(batches):
@@ -104,13 +114,14 @@ def fingerprints(documents: DataFrame, shingle: int = 3, banded: bool = False) -
             fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in texts]
             columns, names = [batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"]
             if banded:
-                columns.append(pa.array([band_keys(np.unique(shingle_hashes(t.as_py(), WORDS))) for t in texts], pa.list_(pa.int64())))
-                names.append("bands")
+                bands = [band_keys(np.unique(shingle_hashes(t.as_py(), WORDS))) for t in texts]
+                columns += [pa.array([b for b, _ in bands], pa.list_(pa.int64())), pa.array([b for _, b in bands], pa.binary())]
+                names += ["bands", "sketch"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, text_hash long, fp long" + (", bands array<long>" if banded else ""))
+    return rows.mapInArrow(scan, "doc_id long, text_hash long, fp long" + (", bands array<long>, sketch binary" if banded else ""))
 
 
 def blocks_of(count: int) -> list[int]:
@@ -272,17 +283,23 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """Of pairs (h, hfp, t, tfp) of text hashes and fingerprints those (a, b), as fingerprints, whose texts (text_hash, text) have this similarity."""
     pairs = settle(pairs, "pairs")
     wanted = pairs.select(F.col("h").alias("text_hash")).unionByName(pairs.select(F.col("t").alias("text_hash"))).distinct()
-    have = settle(texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]), "compared")
+
+    def measure(batches):
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(t.as_py(), WORDS)).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["text_hash", "grams"])
+
+    have = settle(texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).mapInArrow(measure, "text_hash long, grams binary"), "compared")
     many = pairs.groupBy("h").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("parts"))
-    hubs = have.join(many, have["text_hash"] == many["h"]).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "text")
-    others = pairs.join(many, "h").join(have, pairs["t"] == have["text_hash"]).select("h", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("tfp").alias("a"), F.col("hfp").alias("b"), "text")
+    hubs = have.join(many, have["text_hash"] == many["h"]).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "grams")
+    others = pairs.join(many, "h").join(have, pairs["t"] == have["text_hash"]).select("h", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("tfp").alias("a"), F.col("hfp").alias("b"), "grams")
 
     def compare(batches):
         own = np.empty(0, np.uint64)
         for batch in batches:
             kind, keep = batch.column(2).to_pylist(), []
-            for i, text in enumerate(batch.column(5).cast(pa.binary())):
-                grams = np.unique(shingle_hashes(text.as_py(), WORDS))
+            for i, grams in enumerate(batch.column(5).to_pylist()):
+                grams = np.frombuffer(grams, np.uint64)
                 if kind[i] == 0:
                     own = grams
                 elif jaccard(own, grams) >= similarity:
@@ -293,29 +310,69 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return rows.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def sketched(asked: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """(h, hfp, t, tfp): pairs of a hub and another member of its bucket (key, t, fp, root, sketch, n) in different groups, whose sketches allow the similarity: five standard deviations below what it leads to."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    hubs = asked.select("key", "t", "fp", "root", "sketch", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = hubs.unionByName(mixed.select("key", "t", "fp", "root", "sketch", F.lit(1).alias("kind"), F.pmod(F.xxhash64("t", F.lit(3)), parts).cast("int").alias("part")))
+    size = BANDS * DEPTH // 2
+    least = size * similarity - 5 * (size * similarity * (1 - similarity)) ** 0.5
+
+    def meet(batches):
+        at, h, hfp, hroot, hs = None, *(np.empty(0, np.int64),) * 3, np.empty((0, size), np.uint8)
+        for batch in batches:
+            key, t, fp, root, kind, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "t", "fp", "root", "kind", "part"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, size)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            out = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                place = key[a], part[a]
+                if kind[a] == 0:
+                    if place == at:  # hubs that the last batch has cut in two
+                        h, hfp, hroot, hs = (np.concatenate(x) for x in ((h, t[a:b]), (hfp, fp[a:b]), (hroot, root[a:b]), (hs, sketch[a:b])))
+                    else:
+                        at, h, hfp, hroot, hs = place, t[a:b], fp[a:b], root[a:b], sketch[a:b]
+                    continue
+                if place != at:
+                    continue
+                for i in range(len(h)):
+                    k = np.flatnonzero(((sketch[a:b] == hs[i]).sum(1) >= least) & (root[a:b] != hroot[i])) + a
+                    if len(k):
+                        out.append((np.full(len(k), h[i]), np.full(len(k), hfp[i]), t[k], fp[k]))
+            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "hfp", "t", "tfp"])
+
+    columns = ["key", "t", "fp", "root", "sketch", "kind", "part"]
+    return rows.select(columns).repartition("key", "part").sortWithinPartitions("key", "part", "kind").mapInArrow(meet, "h long, hfp long, t long, tfp long")
+
+
 def similar_links(documents: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between different fingerprints of texts of this similarity; fps with bands, near: links between fingerprints."""
     texts = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    keys = fps.dropDuplicates(["text_hash"]).select(F.explode("bands").alias("key"), F.col("text_hash").alias("t"), "fp")
-    keys = settle(keys, "bands")
-    shared = keys.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("key")
-    buckets = settle(keys.join(shared, "key"), "buckets")
-    found, hubs = near, 1
+    each = settle(fps.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("t"), "fp", "bands", "sketch"), "texts")
+    keys = each.select(F.explode("bands").alias("key"), "t")
+    shared = settle(keys.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("key"), "shared-bands")
+    buckets = settle(keys.join(shared, "key").join(each.select("t", "fp", "sketch"), "t"), "buckets")
+    found, step = near, 0
+    roots = components(found, "groups").withColumnRenamed("node", "fp")
     while True:
-        roots = components(found, "groups").withColumnRenamed("node", "fp")
-        own = settle(buckets.join(roots, "fp", "left").select("key", "t", "fp", F.coalesce("root", "fp").alias("root")), "buckets")
+        own = settle(buckets.join(roots, "fp", "left").select("key", "t", "fp", "sketch", F.coalesce("root", "fp").alias("root")), "buckets")
         # the largest group of each bucket that has several
-        groups = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("top.root").alias("most"))
+        groups = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("n")).where("groups > 1").select("key", "n", F.col("top.root").alias("most"))
         mixed = settle(own.join(groups, "key"), "mixed")
         if mixed.isEmpty():
             return found
-        slot = F.pmod(F.xxhash64("t", "key"), F.lit(hubs))
-        asked = mixed.where("root <> most").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "fp", "root")).alias("hub"))
-        asked = settle(asked.select("key", F.col("hub.t").alias("h"), F.col("hub.fp").alias("hfp"), F.col("hub.root").alias("hroot")), "hubs")
-        pairs = asked.join(mixed, "key").where("root <> hroot").select("h", "hfp", "t", F.col("fp").alias("tfp"))
-        found = settle(found.unionByName(verified(pairs.dropDuplicates(["h", "t"]), texts, similarity)).distinct(), "similar")
-        buckets = mixed.join(asked.select("key", F.col("h").alias("t")), ["key", "t"], "left_anti").select("key", "t", "fp")
-        hubs = min(HUBS, 4 * hubs)
+        few = HUBS[1]
+        slot = F.pmod(F.xxhash64("t", "key"), F.when(F.col("n") <= few, few).otherwise(HUBS[min(step, len(HUBS) - 1)]))
+        asked = mixed.where("root <> most").groupBy("key", "n", slot.alias("slot")).agg(F.min(F.struct("t", "fp", "root", "sketch")).alias("hub"))
+        asked = settle(asked.select("key", "n", "hub.*"), "hubs")
+        pairs = sketched(asked, mixed, similarity).dropDuplicates(["h", "t"])
+        more = settle(verified(pairs, texts, similarity), "similar")
+        buckets = mixed.join(asked.select("key", "t"), ["key", "t"], "left_anti").select("key", "t", "fp", "sketch")
+        if not more.isEmpty():
+            found = settle(found.unionByName(more), "linked")
+            roots = components(found, "groups").withColumnRenamed("node", "fp")
+        step += 1
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
