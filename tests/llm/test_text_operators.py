@@ -6,6 +6,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -141,12 +142,12 @@ def leaks():
     return rows + odd_rows(), items
 
 
-@pytest.mark.parametrize("most_bytes", [64 << 20, 0])
-def test_decontamination_matches_brute_force(spark, tmp_path, most_bytes):
+@pytest.mark.parametrize("most_windows", [300_000, 0])
+def test_decontamination_matches_brute_force(spark, tmp_path, most_windows):
     rows, items = leaks()
     path = folder(tmp_path / "t", rows, extra=True, benchmark=benchmark(items))
     docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
-    got = decontaminate.scan(docs, bench, most_bytes=most_bytes).select("_row.doc_id", "_found.*").collect()
+    got = decontaminate.scan(docs, bench, most_windows=most_windows).select("_row.doc_id", "_found.*").collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_hits(rows, items, 10)
     spans = {r.spans for r in got if r.doc_id == 600}
     assert spans == {"1:6,7:12"}
@@ -195,6 +196,65 @@ def test_wrapped_secrets_are_mapped_to_where_they_stand(wrapped):
     assert all(0 <= x < y <= len(text) for x, _, y in every)
 
 
+b64 = lambda b: base64.b64encode(b).decode()
+WRAPPERS = {
+    "percent": lambda s: quote(s, safe=""), "every percent": lambda s: "".join(f"%{b:02X}" for b in s.encode()), "escape": lambda s: "".join(f"\\u{ord(c):04x}" for c in s), "hex escape": lambda s: "".join(f"\\x{ord(c):02x}" for c in s),
+    "base64": lambda s: b64(s.encode()), "unpadded": lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="), "gzip": lambda s: b64(gzip.compress(s.encode())), "zlib": lambda s: b64(zlib.compress(s.encode())), "bzip2": lambda s: b64(bz2.compress(s.encode())), "xz": lambda s: b64(lzma.compress(s.encode())),
+    "lines": lambda s: base64.encodebytes(s.encode()).decode(), "gzip in lines": lambda s: base64.encodebytes(gzip.compress(s.encode())).decode(), "utf-16": lambda s: b64(s.encode("utf-16-le")), "glued": lambda s: "io/v1/" + b64(s.encode()), "newline sign": lambda s: "\\n" + b64(s.encode()),
+    "odd bytes": lambda s: "%ff%FE" + quote(s, safe=""), "odd text": lambda s: b64(("\u00a0\u3000\ufeff" + s).encode()), "members": lambda s: b64(gzip.compress(b"first ") + gzip.compress(s.encode())), "percent gzip": lambda s: "".join(f"%{b:02x}" for b in gzip.compress(s.encode())),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_each_wrapper_is_undone(name):
+    for before in ("", "x", "longer words before it "):
+        text = f"é {before}<{WRAPPERS[name](before + SECRET + ' ' + before * 3)}> nach"
+        _, every = secrets.scan(text.encode())
+        a, b = text.index("<") + 1, text.index(">")
+        assert any(a <= x and y <= b for x, k, y in every if k == 0), (name, every)
+
+
+def test_random_nestings():
+    rng = random.Random(21)
+    for _ in range(150):
+        names = [rng.choice(list(WRAPPERS)) for _ in range(rng.randrange(1, 5))]
+        inner = f"{SECRET} AKIA{'B2' * 9} {'0a' * 14} "
+        for n in names:
+            inner = WRAPPERS[n](inner)
+        text = f"vor 漢 <{inner}> nach"
+        _, every = secrets.scan(text.encode())
+        a, b = text.index("<") + 1, len(text) - 6
+        assert {k for x, k, y in every if a <= x and y <= b} >= {0, 1, 2}, names
+
+
+def test_runs_across_pieces_are_whole():
+    inner = b64((f"{'word ' * 60_000}{SECRET} " + "tail " * 60_000).encode())
+    text = b64(gzip.compress(b". " * (secrets.PIECE // 2 - 100_000) + inner.encode()))
+    _, every = secrets.scan(text.encode())
+    assert any(k == 0 for _, k, _ in every)
+
+
+def brute_base(text):
+    """Leftmost matches that don't overlap, place by place."""
+    out = []
+    for kind, pattern, least in ((0, "(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), (1, "(AKIA[A-Z0-9]+)", 20), (2, "([0-9a-f]+)", 24)):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern, re.ASCII).match(text, at)
+            if m and len(m[1]) >= least:
+                out.append((at, kind, m.end()))
+            at = m.end() if m else at + 1
+    return sorted(out)
+
+
+def test_base_findings_match_brute_force():
+    rng = random.Random(22)
+    bits = ["password", "SECRET", "token", "apikey", "api_key", "Api_KEY", ":", "=", " ", '"', "'", "abc", "abcdef", "AKIA", "B" * 16, "0f" * 5, "0f" * 12, "g", "é", "_", "-", "\n"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert secrets.scan(text.encode())[0] == brute_base(text), text
+
+
 def test_decoding_stops_on_cycles_and_bombs():
     bomb = base64.b64encode(gzip.compress(b"0" * 50_000_000 + b" " + SECRET.encode())).decode()
     _, every = secrets.scan(f"{bomb} %25%32%35%25%32%35 \\u005cu005c".encode())

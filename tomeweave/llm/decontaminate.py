@@ -6,10 +6,12 @@ Document words are numbered by the items' vocabulary; wherever a run of known wo
 enough its rolling hash is looked up in the sorted hash set, and a find is verified word by
 word. Every document word inside a verified window is hit.
 
-The index goes to every task only if the items' text is under `most_bytes`; beyond that windows
-of documents and items meet in a shuffled join, with the same result.
+The index goes to every task only if it has at most `most_windows` windows, each of which takes
+about 700 bytes on the driver and 100 in a task; beyond that windows of documents and items meet in a
+shuffled join on their words, with the same result. Owners come in lists of about 64, so that neither a window that many items share nor one that many documents hold is gathered
+in one place.
 
-Null and empty texts have no words. Items with a null item_id hit words but are not listed;
+Null and empty texts have no words. Texts of any length are read whole. Items with a null item_id hit words but are not listed;
 equal items are listed each. Repeated documents are scored each by itself. Empty tables:
 nothing is hit. Other columns are ignored by the report and kept by the filter.
 """
@@ -92,11 +94,17 @@ def item_texts(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
+def windows_in(items: DataFrame, window: int) -> int:
+    """How many windows the items have, repeats included: what an index of them takes is in proportion."""
+    n = F.regexp_count(lowered(F.col("text")), F.lit(WORD))
+    return items.agg(F.sum(F.when(n > 0, F.greatest(n - window, F.lit(0)) + 1).otherwise(0))).first()[0] or 0
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, most_windows: int = 300_000) -> DataFrame:
     """`_row` with all columns of documents, and `_found` with the report's fields."""
     spark = documents.sparkSession
     items = item_texts(benchmark)
-    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > most_bytes:
+    if windows_in(items, window) > most_windows:
         return scan_joined(documents, benchmark, window)
     small_batches(spark)
     index = ship(spark, Windows([(r.item_id, r.text.encode()) for r in items.collect()], window))
@@ -120,7 +128,12 @@ def scan_joined(documents: DataFrame, benchmark: DataFrame, window: int = 10) ->
     runs = lambda size: F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
     items = item_texts(benchmark).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.lit(window), F.size("w")))
     grams = items.select("item_id", "size", F.explode(runs(F.col("size"))).alias("i"), "w").select("item_id", "size", F.array_join(F.slice("w", F.col("i"), F.col("size")), " ").alias("gram")).distinct()
-    grams = settle(grams.groupBy("size", "gram").agg(F.collect_set("item_id").alias("owners")), "grams")
+    # a window's owners in lists of about 64, however many there are
+    some = F.pmod(F.xxhash64("item_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / 64)))
+    grams = settle(grams, "owned-grams")
+    held = grams.groupBy("size", "gram").agg(F.count("*").alias("n"))
+    grams = settle(grams.join(held, ["size", "gram"]).groupBy("size", "gram", some.alias("slot")).agg(F.collect_set("item_id").alias("owners")), "grams")
+    known = settle(grams.select("size", "gram").distinct(), "known-grams")
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most `window` numbers
     kept = settle(packed(documents, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_id")), "documents")
     w = kept.select("_id", words(F.col("text")).alias("w"))
@@ -129,9 +142,9 @@ def scan_joined(documents: DataFrame, benchmark: DataFrame, window: int = 10) ->
         found = each[0]
         for x in each[1:]:
             found = found.unionByName(x)
-        found = found.join(grams, ["size", "gram"])
+        found = settle(found.join(known, ["size", "gram"]), "hits")
         hit = found.select("_id", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("p")).groupBy("_id").agg(F.countDistinct("p").alias("n_hit"), F.sort_array(F.collect_set("p")).alias("ps"))
-        own = found.select("_id", F.explode("owners").alias("o")).groupBy("_id").agg(F.sort_array(F.collect_set("o")).alias("os"))
+        own = found.select("_id", "size", "gram").distinct().join(grams, ["size", "gram"]).select("_id", F.explode("owners").alias("o")).distinct().groupBy("_id").agg(F.sort_array(F.collect_set("o")).alias("os"))
         all_ = w.select("_id", F.size("w").cast("long").alias("n_words")).join(hit, "_id", "left").join(own, "_id", "left")
     else:
         all_ = w.select("_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("ps"), F.array().cast("array<string>").alias("os"))

@@ -7,10 +7,11 @@ three words wide slide over the whole text, their maxima over the text pass a Re
 logistic output. Embeddings start from the smoothed log-odds of the word among labelled
 documents. Only the positions of the maxima receive gradients, so training costs little.
 
-The classifier is fitted on at most `most` labelled documents (those of smallest hash). A fifth
-of them is kept apart to pick the epoch and, by language, the threshold from which a document is
-rejected; a language with too few labelled documents takes the common threshold. lang never
-enters a score.
+The classifier is fitted on at most `most` labelled documents (those of smallest hash) of together
+at most `most_words` words: taken in order of their hash, each as a whole, until the next would pass
+the bound; only that sample, 4 bytes a word, comes to the driver. A fifth of them is kept apart to
+pick the epoch and, by language, the threshold from which a document is rejected, between 0.3 and 0.7;
+a language with too few labelled documents takes the common threshold. lang never enters a score.
 
 Null and empty texts have no words and get the score of a text of unknown words. Without labels
 of both kinds every score is the share of toxic labels (0 without labels). Repeated rows are
@@ -24,11 +25,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import first_of, held_out, labelled_texts, logistic, packed, ship, small_batches, table, unpacked, widened, words_of
+from .common import first_of, held_out, labelled_texts, logistic, packed, settle, ship, small_batches, table, unpacked, widened, words_of
 
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 PIECE = 1 << 16
@@ -237,14 +238,19 @@ class Convolution:
         return self._scores(rows)
 
 
-def fitted(documents: DataFrame, labels: DataFrame, most: int = 8000) -> Convolution:
-    """The classifier, learnt from at most `most` labelled documents outside the held-out fold."""
+def fitted(documents: DataFrame, labels: DataFrame, most: int = 8000, most_words: int = 6_000_000) -> Convolution:
+    """The classifier, learnt from labelled documents outside the held-out fold: at most `most` and `most_words` words."""
     if "lang" not in documents.columns:
         documents = documents.withColumn("lang", F.lit(None).cast("string"))
     small_batches(documents.sparkSession)
     texts = labelled_texts(documents, labels, "toxic", FOLDS, FOLD, most, "lang").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("lang", F.col("lang").cast("string"))
-    sample = first_of(texts.mapInArrow(hashed_words, "words binary, label int, _hash long, doc_id long, lang string"), most).select("words", "label", "lang").toArrow()
-    rows = [np.frombuffer(w.as_py(), np.uint32) for w in sample.column(0)]
+    sample = settle(first_of(texts.mapInArrow(hashed_words, "words binary, label int, _hash long, doc_id long, lang string"), most).withColumn("n", F.octet_length("words") / 4), "toxicity-sample")
+    # at most `most` numbers: a running sum of the words, in one place
+    upto = F.sum("n").over(Window.orderBy("_hash", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    last = sample.select("_hash", "doc_id", "n", upto.alias("upto")).where(F.col("upto") <= most_words).agg(F.max(F.struct("_hash", "doc_id", "n")).alias("m")).first().m
+    within = F.lit(False) if last is None else F.struct("_hash", "doc_id", "n") <= F.struct(F.lit(last[0]).cast("long"), F.lit(last[1]).cast("long"), F.lit(last[2]).cast("double"))
+    sample = sample.where(within).orderBy("_hash", "doc_id", "n").select("words", "label", "lang").toArrow()
+    rows = [np.frombuffer(w.as_py(), np.uint32) for w in sample.column(0)]  # views of the sample
     return Convolution().fit(rows, np.array(sample.column(1).to_pylist(), np.int64), sample.column(2).to_pylist())
 
 
