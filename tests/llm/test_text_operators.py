@@ -7,6 +7,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import re
 import zlib
@@ -292,6 +293,49 @@ def brute_licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own))
 
 
+def brute_labels(texts, rarest=3, share=0.6):
+    """Every notice at every place of every text, with anchors by document frequencies counted anew."""
+    sets = [set(words(t)) for t in texts]
+    known = {w for _, text, _ in licenses.TEMPLATES for w in text.split()} - licenses.GENERAL
+    idf = {w: math.log((len(texts) + 1) / (sum(w in s for s in sets) + 1)) for w in known}
+    out = []
+    for text in texts:
+        w, found = words(text), []
+        for label, notice, keys in licenses.TEMPLATES:
+            n = notice.split()
+            own = sorted(set(n) & known, key=lambda x: (-idf[x], x))[:rarest]
+            for start in range(len(w)):
+                part = w[start : start + len(n)]
+                same = [a for a, b in zip(part, n) if a == b]
+                if len(set(same) & set(own)) < 2 or len(same) < share * len(n):
+                    continue
+                places = [next(i for i in range(len(n)) if n[i : i + len(k.split())] == k.split()) for k in keys]
+                if all(part[i : i + len(k.split())] == k.split() for i, k in zip(places, keys)):
+                    found.append((len(same) / len(n), label))
+        base = brute_licenses(text)
+        out.append((",".join(sorted({x for _, x in found} | set(base[4].split(",")) - {""})), round(1.0 if base[1] else max((x for x, _ in found), default=0.0), 9)))
+    return out
+
+
+def test_license_labels_match_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    texts = [r[1] for r in odd_rows()[:20]] + [". ".join(notices), "\n".join(reversed(notices)) + " endorse neither obtaining holder products promote"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            n = rng.choice(notices).split()
+            for _ in range(rng.randrange(4)):
+                n[rng.randrange(len(n))] = rng.choice(["word", "license", "the", "public"])
+            parts += [prose(rng, rng.randrange(6)), " ".join(n[: rng.randrange(len(n) // 2, len(n) + 1)])]
+        texts.append(" ".join(parts))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.op8_licenses(spark, folder(tmp_path / "t", rows)).collect()}
+    want = brute_labels(texts)
+    assert [got[i] for i in range(len(rows))] == want
+    assert set(got[20][0].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+
+
 def test_license_scan(spark, tmp_path):
     rows = odd_rows() + [
         (800, "Under the MIT license. under the mit-license", "en", "a", 1), (801, "Apache License, Version 2.0 and CC BY-NC", "en", "a", 1), (802, "Licensed under the BSD 3-Clause License", "en", "a", 1), (803, "under the mit licenses; cc by", "en", "a", 1),

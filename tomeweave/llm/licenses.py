@@ -3,12 +3,13 @@
 Words are ASCII letters and digits (A-Z lower-cased) and all characters beyond ASCII. Base: the
 places where the words of a phrase of BASE stand one after the other.
 
-The index holds, for each word of the notices in TEMPLATES but the most general ones, the
-templates and positions where it stands. How rare a word is (IDF) is counted over all documents.
-Of a document's licence words the `rarest` of highest IDF are looked up; every occurrence votes
-for (template, start of the template in the document). Starts with two votes or more are
-verified: the template's mandatory phrases must stand at their place, and `share` of its words.
-What passes adds the template's label; its share is the score, and 1 where a base phrase stands.
+How rare a licence word is (IDF) is counted over all documents. Of each notice in TEMPLATES the
+`rarest` words of highest IDF are its anchors; the index holds, for each anchor, the notices and
+positions where it stands. Every occurrence of an anchor in a document votes for (notice, start of
+the notice in the document), so that postings are intersected by relative position however many
+notices a file holds. Starts on which two anchors agree are verified: the notice's mandatory
+phrases must stand at their place, and `share` of its words. What passes adds the notice's label; its
+share is the score, and 1 where a base phrase stands.
 
 Everything is an expression over one row, so nothing is shuffled but the counts per licence
 word. The templates are part of the program, so the index has a fixed size.
@@ -59,6 +60,14 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
     ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ("cc by nc sa",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("deal in the software without restriction", "substantial portions of the software")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee",)),
+    ("bsd-2", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("must retain the above copyright notice", "must reproduce the above copyright notice")),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("apache license version 2", "required by applicable law")),
+    ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "either version 2 of the license")),
+    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "either version 3 of the license")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish",)),
 )
 #: Words too general to be looked up.
 GENERAL = frozenset("a an and any are as be by for from in is it its may nor not of on or the this to use used with you 0 1 2 3 4 under".split())
@@ -88,17 +97,21 @@ def constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scanned(documents: DataFrame, rarest: int = 8, share: float = 0.6) -> DataFrame:
+def anchors(idf: dict[str, float], rarest: int) -> list[list[str]]:
+    """The words of each notice by which it is looked up."""
+    return [sorted({w for w in text.split() if w in idf}, key=lambda w: (-idf[w], w))[:rarest] for _, text, _ in TEMPLATES]
+
+
+def scanned(documents: DataFrame, rarest: int = 3, share: float = 0.6) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of documents."""
     idf = rarity(documents)
-    postings: dict[str, list] = {w: [] for w in idf}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(text.split()):
-            if w in postings:
-                postings[w].append({"t": t, "p": p})
+    postings: dict[str, list] = {}
+    for t, own in enumerate(anchors(idf, rarest)):
+        for p, w in enumerate(TEMPLATES[t][1].split()):
+            if w in own:
+                postings.setdefault(w, []).append({"t": t, "p": p})
     notices = [{"label": label, "words": text.split(), "keys": [{"at": _place(text, k), "words": k.split()} for k in keys]} for label, text, keys in TEMPLATES]
     index = constant(postings, "map<string,array<struct<t:int,p:int>>>")
-    rank = constant(idf, "map<string,double>")
     known = constant(notices, "array<struct<label:string,words:array<string>,keys:array<struct<at:int,words:array<string>>>>>")
     at = lambda start, words: (start >= 0) & (F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.size(words)) == words)
 
@@ -111,11 +124,10 @@ def scanned(documents: DataFrame, rarest: int = 8, share: float = 0.6) -> DataFr
         return F.transform(F.filter("_hits", lambda h: (h.w == words[anchor]) & at(h.p - anchor, wanted)), lambda h: h.p - anchor)
 
     df = df.withColumn("_base", F.array(*[places(phrase) for phrase, _ in BASE]))
-    own = F.array_distinct(F.transform("_hits", lambda h: h.w))
-    ranked = F.slice(F.array_sort(F.transform(own, lambda w: F.struct((-F.element_at(rank, w)).alias("r"), w.alias("w")))), 1, rarest)
-    df = df.withColumn("_rare", F.transform(ranked, lambda x: x.w))
-    chosen = F.filter("_hits", lambda h: F.array_contains("_rare", h.w))
-    votes = F.flatten(F.transform(chosen, lambda h: F.transform(F.element_at(index, h.w), lambda v: F.struct(v.t.alias("t"), (h.p - v.p).alias("start")))))
+    chosen = F.filter("_hits", lambda h: h.w.isin(sorted(postings)))
+    # each anchor votes once for a start
+    votes = F.array_distinct(F.flatten(F.transform(chosen, lambda h: F.transform(F.element_at(index, h.w), lambda v: F.struct(v.t.alias("t"), (h.p - v.p).alias("start"), h.w.alias("w"))))))
+    votes = F.transform(votes, lambda v: F.struct(v.t.alias("t"), v.start.alias("start")))
     df = df.withColumn("_votes", F.when(F.size("_hits") > 1, F.array_sort(votes)))
     vote = lambda i: F.get(F.col("_votes"), i)
     df = df.withColumn("_starts", F.filter("_votes", lambda v, i: (i > 0) & (v == vote(i - 1)) & ((i < 2) | (v != F.coalesce(vote(i - 2), v)))))
