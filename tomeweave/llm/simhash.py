@@ -51,8 +51,8 @@ from .common import packed, settle, small_batches, table, unpacked
 BITS = 64
 #: Above so many in one meeting place, rows are dealt again by further blocks; with so few free bits they are not.
 CROWD, FEW_BITS = 16384, 16
-#: Texts that are compared with one text by one task, at most about; texts of a bucket in one task, at most about; texts of a bucket compared with all others in one round.
-STREAM, PART, HUBS = 512, 4096, (1, 64, 512)
+#: Texts that are compared with one text by one task, at most about; texts of a bucket in one task, at most about; texts of a bucket compared with all others in the first and in later rounds; and in buckets of so few.
+STREAM, PART, HUBS, SMALL = 512, 4096, (1, 4096), 64
 #: MinHash bands and hashes in each; words of a shingle for similarity.
 BANDS, DEPTH, WORDS = 32, 7, 5
 
@@ -346,32 +346,32 @@ def sketched(asked: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame
     return rows.select(columns).repartition("key", "part").sortWithinPartitions("key", "part", "kind").mapInArrow(meet, "h long, hfp long, t long, tfp long")
 
 
-def similar_links(documents: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between different fingerprints of texts of this similarity; fps with bands, near: links between fingerprints."""
+def similar_groups(documents: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of fingerprints by near, links between them, and by texts of this similarity; fps with bands."""
     texts = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     each = settle(fps.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("t"), "fp", "bands", "sketch"), "texts")
     keys = each.select(F.explode("bands").alias("key"), "t")
     shared = settle(keys.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("key"), "shared-bands")
     buckets = settle(keys.join(shared, "key").join(each.select("t", "fp", "sketch"), "t"), "buckets")
-    found, step = near, 0
-    roots = components(found, "groups").withColumnRenamed("node", "fp")
+    found, roots, step = near, None, 0
     while True:
-        own = settle(buckets.join(roots, "fp", "left").select("key", "t", "fp", "sketch", F.coalesce("root", "fp").alias("root")), "buckets")
+        rooted = buckets.withColumn("root", F.col("fp")) if roots is None else buckets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        own = settle(rooted.select("key", "t", "fp", "sketch", "root"), "buckets")
         # the largest group of each bucket that has several
         groups = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("n")).where("groups > 1").select("key", "n", F.col("top.root").alias("most"))
         mixed = settle(own.join(groups, "key"), "mixed")
         if mixed.isEmpty():
-            return found
-        few = HUBS[1]
-        slot = F.pmod(F.xxhash64("t", "key"), F.when(F.col("n") <= few, few).otherwise(HUBS[min(step, len(HUBS) - 1)]))
+            return components(found) if roots is None else roots
+        slot = F.pmod(F.xxhash64("t", "key"), F.when(F.col("n") <= SMALL, SMALL).otherwise(HUBS[min(step, len(HUBS) - 1)]))
         asked = mixed.where("root <> most").groupBy("key", "n", slot.alias("slot")).agg(F.min(F.struct("t", "fp", "root", "sketch")).alias("hub"))
         asked = settle(asked.select("key", "n", "hub.*"), "hubs")
         pairs = sketched(asked, mixed, similarity).dropDuplicates(["h", "t"])
         more = settle(verified(pairs, texts, similarity), "similar")
         buckets = mixed.join(asked.select("key", "t"), ["key", "t"], "left_anti").select("key", "t", "fp", "sketch")
-        if not more.isEmpty():
+        # links between fingerprints count from here on
+        if roots is None or not more.isEmpty():
             found = settle(found.unionByName(more), "linked")
-            roots = components(found, "groups").withColumnRenamed("node", "fp")
+            roots = components(found, "groups")
         step += 1
 
 
@@ -380,9 +380,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, sim
     fps = settle(fingerprints(documents, shingle, similarity is not None), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("table", pivot_table(F.col("fp"))), "classes")
     linked = links(classes.select("fp", "table"), radius)
-    if similarity is not None:
-        linked = similar_links(documents, fps, settle(linked, "links"), similarity)
-    comp = components(linked)
+    comp = components(linked) if similarity is None else similar_groups(documents, fps, settle(linked, "links"), similarity)
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id", "root")
