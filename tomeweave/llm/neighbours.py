@@ -18,7 +18,8 @@
    neighbours: vectors in clusters are found in few lists, vectors without structure need many.
 7. Lists and the queries that meet in one are dealt into parts of at most about `part` rows.
    Distances are taken in double precision on the original vectors, in blocks; each part returns
-   its best, and the best over all remain.
+   its best, as far as they are as near as the sample's best, which count themselves, and the best
+   over all remain.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of
 another length than the commonest (the shorter if even) or rows without an id. Equal rows count
@@ -235,6 +236,34 @@ def probed(queries: DataFrame, graph, width: int, ratio: float, held: np.ndarray
     return queries.select("rep", "v").mapInArrow(deal, PROBED)
 
 
+FOUND = "query long, rep long, low long, score double, members array<long>"
+
+
+def in_sample(queries: DataFrame, sample) -> DataFrame:
+    """The nearest NEAREST + 1 classes of the sample to each query: members of every answer, or what bounds it."""
+
+    def look(batches):
+        b, reps, members = sample()
+        low = np.array([m[0] for m in members])
+        keep = min(NEAREST + 1, len(b))
+        for batch in batches:
+            x, ids = vectors_of(batch.column(1), batch.num_rows), batch.column(0).to_numpy()
+            out: list[list] = [[], [], [], [], []]
+            for at in range(0, len(x), 128):
+                rough = squared(x[at : at + 128], b)
+                cut = np.partition(rough, keep - 1, 1)[:, keep - 1]
+                for i in range(len(rough)):
+                    j = np.flatnonzero(rough[i] <= cut[i] + 1e-9 * (1 + cut[i]))
+                    d = np.sqrt(((b[j] - x[at + i]) ** 2).sum(1))
+                    for k in np.lexsort((low[j], d))[:keep]:
+                        for column, value in zip(out, (ids[at + i], reps[j[k]], low[j[k]], d[k], members[j[k]])):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["query", "rep", "low", "score", "members"])
+
+    return queries.select("rep", "v").mapInArrow(look, FOUND)
+
+
 def sized(postings: DataFrame) -> DataFrame:
     """(list, n, held): rows of each list, and members of those that are there first."""
     return settle(postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.when(F.col("first"), F.size("members")).otherwise(0)).alias("held")), "list-sizes")
@@ -307,8 +336,8 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
     result = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], result)
-    drawn = whole.select("v", F.xxhash64("v").alias("_h"), F.col("members")[0].alias("_low")).orderBy("_h", "_low").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    x = vectors_of(drawn, len(drawn))
+    drawn = whole.select("rep", "v", "members", F.xxhash64("v").alias("_h"), F.col("members")[0].alias("_low")).orderBy("_h", "_low").limit(sample).select("rep", "v", "members").toArrow().combine_chunks()
+    x = vectors_of(drawn.column("v").chunk(0), len(drawn))
     # as many lists as the classes need, 8 sample rows each at least
     centres = split_share(x, max(1, min(count // per_list, len(x) // 8)))
     own = Centroids(centres)
@@ -322,6 +351,7 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
         held[r.list] = r.held
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = settle(asked.select("v").distinct().join(whole, "v").select("rep", "v"), "queries")
+    seen = settle(in_sample(queries, ship(spark, (x, drawn.column("rep").to_numpy(), drawn.column("members").to_pylist()))), "in-sample")
     probes = settle(probed(queries, graph, width, ratio, held), "probes")
     longest = None
     while (n := sizes.agg(F.max("n")).first()[0]) is not None and n > 4 * per_list and n != longest:
@@ -330,7 +360,9 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
     parts = sizes.select("list", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     groups = settle(probes.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("groups")).join(parts, "list"), "list-parts")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    sought = probes.join(groups, "list").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("groups")).cast("int")).select("rep", "v", "list", "group", upto("parts").alias("part"))
+    # no query needs more than what is as near as the last of the sample's
+    bounds = seen.groupBy(F.col("query").alias("rep")).agg(F.when(F.count("*") > NEAREST, F.max("score") * (1 + 1e-9)).otherwise(F.lit(float("inf"))).alias("bound"))
+    sought = probes.join(bounds, "rep").join(groups, "list").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("groups")).cast("int")).select("rep", "v", "bound", "list", "group", upto("parts").alias("part"))
     dealt = postings.join(groups, "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("rep", "v", "members", "list", "part", upto("groups").alias("group"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -344,10 +376,11 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
                 a = np.stack(q["v"].iloc[at : at + 256].to_numpy())
                 rough = squared(a, b)
                 cut = np.partition(rough, keep - 1, 1)[:, keep - 1]
-                for i, rep in enumerate(q["rep"].iloc[at : at + 256]):
-                    j = np.flatnonzero(rough[i] <= cut[i] + 1e-9 * (1 + cut[i]))
+                for i, (rep, bound) in enumerate(zip(q["rep"].iloc[at : at + 256], q["bound"].iloc[at : at + 256])):
+                    j = np.flatnonzero(rough[i] <= min(cut[i], bound * bound) + 1e-9 * (1 + cut[i]))
                     d = np.sqrt(((b[j] - a[i]) ** 2).sum(1))
-                    for k in np.lexsort((low[j], d))[:keep]:
+                    order = np.lexsort((low[j], d))[:keep]
+                    for k in order[d[order] <= bound]:
                         out["query"].append(rep)
                         out["rep"].append(reps[j[k]])
                         out["low"].append(low[j[k]])
@@ -357,8 +390,8 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, sample: int = 20
         return pd.DataFrame({k: pd.Series(v, dtype=kinds[k]) for k, v in out.items()})
 
     meet = ["list", "part", "group"]
-    found = sought.groupBy(*meet).cogroup(dealt.groupBy(*meet)).applyInPandas(search, "query long, rep long, low long, score double, members array<long>")
-    found = found.dropDuplicates(["query", "rep"])
+    found = sought.groupBy(*meet).cogroup(dealt.groupBy(*meet)).applyInPandas(search, FOUND)
+    found = found.unionByName(seen).dropDuplicates(["query", "rep"])
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "low", "rep"))).where(F.col("_n") <= NEAREST + 1)
     best = best.groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("near"))
     # back to the rows: each query of a class meets the same members, less itself
