@@ -85,9 +85,9 @@ def test_one_chunk_changed_means_one_embedding(spark, tmp_path):
     for f in asked.iterdir():
         f.unlink()
     e.modify("g.md", "# Guide\nintro\n## First\none\n## Second\nchanged")
-    texts = {t for f in asked.iterdir() for t in f.read_text().split("\n---\n")}
+    texts = [t for f in asked.iterdir() for t in f.read_text().split("\n---\n")]
     new = {r.chunk_index: r.embedding for r in e._rows("vectors").collect()}
-    assert texts == {"[g]\nSecond\nchanged"} and [i for i in old if old[i] != new[i]] == [3]
+    assert texts == ["[g]\nSecond\nchanged"] and [i for i in old if old[i] != new[i]] == [3]
 
 
 def test_scopes(spark, tmp_path):

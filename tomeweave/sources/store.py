@@ -76,12 +76,20 @@ class Store:
             changed.select(*KEY).distinct().write.mode("overwrite").parquet(f"{base}/keys")
             entry |= {"keys": f"{base}/keys", "changed": self.spark.read.parquet(f"{base}/keys").count()}
         for name, df in (tables or {}).items():
-            ordered = [c for c in ("term", "rel_path", "chunk_index") if c in df.columns]
-            df.repartitionByRange("source_id", *ordered).sortWithinPartitions("source_id", *ordered).write.mode("overwrite").partitionBy("source_id").parquet(f"{base}/{name}")
+            self._write(df, f"{base}/{name}")
             entry["tables"][name] = f"{base}/{name}"
         self._enter(entry)
         return version
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Rows in ranges of source, term, path and chunk. They are written once before, as finding the ranges would work them out twice."""
+        ordered = [c for c in ("term", "rel_path", "chunk_index") if c in df.columns]
+        raw = f"{path}.raw"
+        df.write.mode("overwrite").parquet(raw)
+        rows = self.spark.read.schema(df.schema).parquet(raw)
+        rows.repartitionByRange("source_id", *ordered).sortWithinPartitions("source_id", *ordered).write.mode("overwrite").partitionBy("source_id").parquet(path)
+        self._fs.delete(self._path(raw), True)
+
     def read(self, name: str) -> DataFrame | None:
         """A table as it is now; None if nothing was ever written to it."""
         log = self.log()
@@ -115,7 +123,7 @@ class Store:
             df = self.read(name)
             if df is not None:
                 path = f"{self.home}/v={version}/{name}"
-                df.write.mode("overwrite").partitionBy("source_id").parquet(path)
+                self._write(df, path)
                 entry["tables"][name] = path
         self._enter(entry)
         return version
