@@ -15,6 +15,7 @@ from collections import Counter
 from itertools import combinations
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 import xxhash
@@ -524,3 +525,16 @@ def test_sql_says_the_same(spark, name):
 def test_numbers_have_the_types_asked_for(spark):
     kinds = dict(suffixes.op5_suffixes(spark, SF).dtypes)
     assert kinds == {"doc_id": "bigint", "n_repeated": "bigint", "n_removed": "bigint", "spans": "string", "removed": "string"}
+
+
+def test_a_sketch_never_bounds_a_similarity_too_low():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 400, 20_000):
+        base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        for kept in (0.0, 0.5, 0.85, 0.95, 1.0):
+            sets = [np.unique(base), np.unique(np.concatenate([base[rng.random(size) < kept], rng.integers(0, 1 << 64, 1 + size // 20, dtype=np.uint64)]))]
+            sketches = np.stack([np.frombuffer(simhash.band_keys(x)[1], np.uint8) for x in sets])
+            many, maps = simhash.sizes_and_maps(sketches)
+            assert many.tolist() == [len(x) for x in sets]
+            for a, b in ((0, 1), (1, 0), (0, 0)):
+                assert simhash.at_most(many[[b]], maps[[b]], many[a], maps[a])[0] >= simhash.jaccard(sets[a], sets[b])

@@ -24,8 +24,10 @@ Given a `similarity`, texts whose sets of five-word shingles have that Jaccard s
 as well. SimHash can't find these: at similarity 0.8 two fingerprints differ in about ten bits, too
 many for blocks. Candidates share a band of MinHashes (a pair of similarity 0.8 is missed once in
 about 2000). Within a band's bucket some texts at a time, taken from the smaller groups, are compared
-with all others that nothing links to them yet, first by sketches of their MinHashes (which lose one
-pair of similarity 0.8 in a million), then exactly; then they leave the bucket, until all that is left
+with all others that nothing links to them yet, first by sketches: their MinHashes (which lose one
+pair of similarity 0.8 in a million) and a map of bits, one set for each shingle, from which follows
+the highest similarity that the pair can have (which loses none). What is left is compared exactly.
+Then they leave the bucket, until all that is left
 there is linked. So no link is lost, and a bucket of copies takes one comparison a text. Buckets and
 comparisons are streams that hold a few hundred sketches or one text, dealt into parts where many meet.
 
@@ -55,6 +57,8 @@ CROWD, FEW_BITS = 16384, 16
 STREAM, PART, HUBS, SMALL = 512, 4096, (1, 4096), 64
 #: MinHash bands and hashes in each; words of a shingle for similarity.
 BANDS, DEPTH, WORDS = 32, 7, 5
+#: Bytes of a sketch: MinHashes, the number of shingles, the map of their bits.
+LOW, NUMBER, MAP = BANDS * DEPTH // 2, 8, 128
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -89,10 +93,13 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A key for each band of MinHashes of distinct shingle hashes, and a byte of every second MinHash; none without shingles."""
+    """A key for each band of MinHashes of distinct shingle hashes, and their sketch: a byte of every second MinHash, their number, a map with a bit set for each; none without shingles."""
     if not len(grams):
         return np.empty(0, np.int64), b""
     times, plus = permutations()
+    bits = np.zeros(MAP * 8, bool)
+    bits[grams % np.uint64(MAP * 8)] = True
+    number = len(grams)
     grams = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
     low = np.full(BANDS * DEPTH, (1 << 32) - 1, np.uint32)
     for at in range(0, len(grams), 128):
@@ -101,7 +108,19 @@ def band_keys(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
     for column in low.reshape(BANDS, DEPTH).T:
         key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64), low[::2].astype(np.uint8).tobytes()
+    return key.view(np.int64), low[::2].astype(np.uint8).tobytes() + np.array([number], "<i8").tobytes() + np.packbits(bits).tobytes()
+
+
+def sizes_and_maps(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of shingles and the maps of bits in sketches, a row each."""
+    return np.ascontiguousarray(sketches[:, LOW : LOW + NUMBER]).view("<i8")[:, 0], np.ascontiguousarray(sketches[:, LOW + NUMBER :]).view(np.uint64)
+
+
+def at_most(many: np.ndarray, maps: np.ndarray, number: int, own: np.ndarray) -> np.ndarray:
+    """The highest Jaccard similarity that each of some sets, by size and map of bits, can have with one: a bit that only one of two maps has stands for a shingle that only that set has."""
+    less, more = np.bitwise_count(own & ~maps).sum(1, dtype=np.int64), np.bitwise_count(maps & ~own).sum(1, dtype=np.int64)
+    both = np.minimum(number - less, many - more)
+    return both / (number + many - both)
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, banded: bool = False) -> DataFrame:
@@ -311,18 +330,18 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def sketched(asked: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
-    """(h, hfp, t, tfp): pairs of a hub and another member of its bucket (key, t, fp, root, sketch, n) in different groups, whose sketches allow the similarity: five standard deviations below what it leads to."""
+    """(h, hfp, t, tfp): pairs of a hub and another member of its bucket (key, t, fp, root, sketch, n) in different groups, whose sketches allow the similarity: MinHashes five standard deviations below what it leads to, and maps of bits."""
     parts = F.ceil(F.col("n") / PART).cast("int")
     hubs = asked.select("key", "t", "fp", "root", "sketch", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = hubs.unionByName(mixed.select("key", "t", "fp", "root", "sketch", F.lit(1).alias("kind"), F.pmod(F.xxhash64("t", F.lit(3)), parts).cast("int").alias("part")))
-    size = BANDS * DEPTH // 2
-    least = size * similarity - 5 * (size * similarity * (1 - similarity)) ** 0.5
+    least = LOW * similarity - 5 * (LOW * similarity * (1 - similarity)) ** 0.5
 
     def meet(batches):
-        at, h, hfp, hroot, hs = None, *(np.empty(0, np.int64),) * 3, np.empty((0, size), np.uint8)
+        at, h, hfp, hroot, hs = None, *(np.empty(0, np.int64),) * 3, np.empty((0, LOW + NUMBER + MAP), np.uint8)
         for batch in batches:
             key, t, fp, root, kind, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "t", "fp", "root", "kind", "part"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, size)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, LOW + NUMBER + MAP)
+            many, maps = sizes_and_maps(sketch)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
             out = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
@@ -335,8 +354,10 @@ def sketched(asked: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame
                     continue
                 if place != at:
                     continue
+                hmany, hmaps = sizes_and_maps(hs)
                 for i in range(len(h)):
-                    k = np.flatnonzero(((sketch[a:b] == hs[i]).sum(1) >= least) & (root[a:b] != hroot[i])) + a
+                    k = np.flatnonzero(((sketch[a:b, :LOW] == hs[i, :LOW]).sum(1) >= least) & (root[a:b] != hroot[i])) + a
+                    k = k[at_most(many[k], maps[k], hmany[i], hmaps[i]) >= similarity]
                     if len(k):
                         out.append((np.full(len(k), h[i]), np.full(len(k), hfp[i]), t[k], fp[k]))
             columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
