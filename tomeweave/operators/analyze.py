@@ -179,6 +179,16 @@ def analysed(text: Column, name: Column, analyser: Analyser) -> Column:
     return tokens(text, name)
 
 
+def domain_places(text: Column, analyser: Analyser) -> Column:
+    """Where the analyser's domain terms stand in a text, overlaps included."""
+
+    @F.pandas_udf("array<struct<term:string,start:int,weight:double>>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [{"term": t.normalized, "start": t.start, "weight": t.base} for t in analyser._domain(x or "")])
+
+    return places(text)
+
+
 def tokens_of(fields: DataFrame, analyser: Analyser | None = None) -> DataFrame:
     """(source_id, rel_path, field, tokens) of (source_id, rel_path, field, text)."""
     return fields.select("source_id", "rel_path", "field", analysed(F.col("text"), F.col("field"), analyser or Analyser()).alias("tokens"))

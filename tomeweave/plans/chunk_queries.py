@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import chunk, compile
 from ..sources.corpus import documents, entries, markdown
-from .corpus_queries import _list, _values
+from .corpus_queries import _list
 
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
@@ -33,28 +33,6 @@ def heading_path(spark: SparkSession, d: str) -> DataFrame:
     return chunk.heading_paths(entries(documents(spark, d)).withColumn("content", F.array_join(lines, "\n")))
 
 
-LINKS = ("See [[Alpha]] and [[Beta|the second]], [[Alpha#part]] [[ Gamma ]].", "none", "[[A]][[B]] [[A|x]] [[]]", "[[汉字]] ![[pic.png]]")
-
-
-def wikilinks(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(LINKS)), "id int, text string")
-    return rows.select("id", F.posexplode(T.wikilinks(F.col("text"))).alias("place", "target"))
-
-
-def chunk_type_hint(spark: SparkSession, d: str) -> DataFrame:
-    return chunks_of(spark, d).select("source_id", "rel_path", "chunk_index", T.chunk_type(F.col("raw_text"), F.col("heading")).alias("chunk_type"))
-
-
-LONG = "long enough to be a note of its own, with more than fifty characters in it"
-TYPED = (("```py\nx\n```", "# a"), ("- [ ] open", "# a"), ("* [X] done", "# a"), (LONG, "## 架构图"), (LONG, "### 决策"), (LONG, "# 附录"), (LONG, "#### 故障"), (LONG, "# 周报"), (LONG, "# Idea"), (LONG, "## 调研"), ("short", "# a"), (LONG, "# 其他"))
-
-
-def chunk_types(spark: SparkSession, d: str) -> DataFrame:
-    """Each rule once."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(TYPED)], "id int, text string, heading string")
-    return rows.select("id", T.chunk_type(F.col("text"), F.col("heading")).alias("chunk_type"))
-
-
 def preprocess_metadata(spark: SparkSession, d: str) -> DataFrame:
     rows = chunk.enriched(chunks_of(spark, d))
     return rows.select("source_id", "rel_path", "chunk_index", "content_class", F.round("importance", 4).alias("importance"), "confidence", "temporal_anchor", "summary")
@@ -65,22 +43,6 @@ def keywords_extract(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_id", "rel_path", F.array_join(T.keywords(F.col("content")), ",").alias("keywords"))
 
 
-MARKED = ("met 2024-1-05 and 2023/12/31", "x2024-01-01", "in 2021/3/4.", "no date", "1999-01-01")
-
-
-def temporal_anchors(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(MARKED)), "id int, text string")
-    return rows.select("id", T.temporal_anchor(F.col("text")).alias("anchor"))
-
-
-PATHS = ("a/ChatGPT/x.md", "日报/1.md", "手册/b.md", "plain/c.md", "会议 conversation.md")
-
-
-def content_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in PATHS], "rel_path string")
-    return rows.select("rel_path", T.content_class(F.col("rel_path")).alias("content_class"))
-
-
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     """What each entry is embedded as when its keywords and first lines are all that is known."""
     rows = entries(documents(spark, d))
@@ -89,14 +51,6 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_id", "rel_path", F.md5(text).alias("md5"), F.length(text).alias("length"))
 
 
-REPLIES = ('{"topic":"a","normalizedText":"b","concepts":["c","d"],"aliases":[]}', '```json\n{"topic":"a","normalizedText":"b"}\n```', '{"topic":"a"}', "no json", '{"segments":[{"topic":"s","normalizedText":"t","concepts":["u"]}]}', '```\n{"topic":"x","normalizedText":"y","aliases":["z"]}\n```', "")
-
-
-def llm_result_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string").select("id", compile.file_result(F.col("reply")).alias("r"))
-    return rows.where("r is not null").select("id", "r.topic", F.col("r.normalizedText").alias("normalized_text"), F.array_join("r.concepts", ";").alias("concepts"), F.array_join("r.aliases", ";").alias("aliases"))
-
-
 MARKDOWN = r"""
 lines AS (SELECT source AS source_id, concat(lang, '/', doc_id, '.md') AS rel_path, substr(split_part(text, chr(10), 1), 1, 60) AS title, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 marked AS (SELECT source_id, rel_path, title, i, i % 3 = 0 AS head, CASE WHEN i % 3 = 0 THEN concat('## ', line) ELSE line END AS line FROM lines),
@@ -104,7 +58,6 @@ numbered AS (SELECT *, i // 3 AS k FROM marked),
 chunks AS (SELECT source_id, rel_path, CAST(k AS INTEGER) AS chunk_index, CASE WHEN k = 0 THEN any_value(title) ELSE trim(max(CASE WHEN head THEN line END)) END AS heading, CASE WHEN k = 0 THEN 0 ELSE 2 END AS level,
   coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '') AS body FROM numbered GROUP BY source_id, rel_path, k),
 raw AS (SELECT *, CASE WHEN heading <> '' THEN concat(heading, chr(10), body) ELSE body END AS raw_text FROM chunks)"""
-ORDERED_DISTINCT = "list_filter({x}, lambda w, i: list_position({x}, w) = i)"
 _words = "regexp_extract_all(content, '\\b[A-Za-z_]{3,}\\b')"
 _keywords = f"""found AS (SELECT source_id, rel_path, {_words} AS ws FROM entries), each AS (SELECT source_id, rel_path, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM found),
 firsts AS (SELECT source_id, rel_path, w, min(p) AS p FROM each WHERE w NOT IN {_list(L.NO_KEYWORDS)} GROUP BY source_id, rel_path, w), listed AS (SELECT source_id, rel_path, list(w ORDER BY p)[1:8] AS ws FROM firsts GROUP BY source_id, rel_path),
@@ -115,8 +68,7 @@ _class = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){words}')
 _anchor = lambda c: f"nullif(replace(regexp_extract({c}, '\\b(20[0-9]{{2}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})\\b', 1), '/', '-'), '')"
 _summary = r"substr(trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_text, '(?m)^#{1,6}\s+', '', 'g'), '(?s)```.*?```', '[代码]', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*|__|\*|_|`|~~', '', 'g'), chr(10), ' ')), 1, 30)"
 ENTRY = "entries AS (SELECT source AS source_id, concat(lang, '/', doc_id, '.md') AS rel_path, substr(split_part(text, chr(10), 1), 1, 60) AS title, lang AS tag, text AS content FROM documents)"
-_text = lambda rows: _values((i, *(x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (r if isinstance(r, tuple) else (r,)))) for i, r in enumerate(rows))
-QUERIES = {f.__name__: f for f in (chunk_by_heading, chunk_context, heading_path, wikilinks, chunk_type_hint, chunk_types, preprocess_metadata, keywords_extract, temporal_anchors, content_classes, embedding_text, llm_result_parse)}
+QUERIES = {f.__name__: f for f in (chunk_by_heading, chunk_context, heading_path, preprocess_metadata, keywords_extract, embedding_text)}
 SQL = {
     "chunk_by_heading": f"WITH {MARKDOWN} SELECT source_id, rel_path, chunk_index, heading, level, md5(raw_text) AS md5 FROM raw",
     "chunk_context": f"""WITH {MARKDOWN}, heads AS (SELECT source_id, rel_path, CAST(k AS INTEGER) AS chunk_index, line AS heading FROM numbered WHERE head), some AS (SELECT source_id, rel_path FROM heads WHERE chunk_index = 1)
@@ -124,21 +76,11 @@ SELECT h.source_id, h.rel_path, chunk_index, chunk_index - 1 AS offset, heading
     "heading_path": f"""WITH {MARKDOWN}, heads AS (SELECT source_id, rel_path, k, k % 3 AS depth, trim(regexp_replace(line, '^#+\\s*', '')) AS name FROM (SELECT source_id, rel_path, i // 3 AS k, line FROM lines WHERE i % 3 = 0))
 SELECT h.source_id, h.rel_path, CAST(h.k AS INTEGER) AS chunk_index, concat_ws(' > ', b.name, a.name, h.name) AS path FROM heads h
 LEFT JOIN heads a ON h.depth >= 1 AND a.source_id = h.source_id AND a.rel_path = h.rel_path AND a.k = h.k - 1 LEFT JOIN heads b ON h.depth = 2 AND b.source_id = h.source_id AND b.rel_path = h.rel_path AND b.k = h.k - 2""",
-    "wikilinks": f"""WITH rows AS (SELECT * FROM (VALUES {_text(LINKS)}) t(id, text)), found AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]+)?\\]\\]', 1), lambda x: trim(x)), lambda x: x <> '') AS all_ FROM rows),
-own AS (SELECT id, {ORDERED_DISTINCT.format(x="all_")} AS targets FROM found) SELECT id, CAST(unnest(range(len(targets))) AS INTEGER) AS place, unnest(targets) AS target FROM own""",
-    "chunk_type_hint": f"WITH {MARKDOWN} SELECT source_id, rel_path, chunk_index, {_type} AS chunk_type FROM (SELECT *, raw_text AS text FROM raw)",
-    "chunk_types": f"SELECT id, {_type} AS chunk_type FROM (VALUES {_text(TYPED)}) t(id, text, heading)",
     "preprocess_metadata": f"""WITH {MARKDOWN} SELECT source_id, rel_path, chunk_index, {_class("rel_path")} AS content_class,
   round(CAST(greatest(0.1, least(1.0, 0.3 + CASE WHEN length(raw_text) > 200 THEN 0.2 ELSE 0 END + CASE WHEN length(raw_text) > 500 THEN 0.1 ELSE 0 END + CASE WHEN contains(raw_text, '```') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(heading, '^#{{1,3}}\\s') THEN 0.1 ELSE 0 END
     + CASE WHEN regexp_matches(raw_text, '{T.TROUBLE}') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(raw_text, '(?i){T.LATER}') THEN 0.3 ELSE 0 END)) AS DOUBLE), 4) AS importance,
   CAST(CASE WHEN length(raw_text) < 20 THEN 0.3 WHEN length(raw_text) < 80 THEN 0.6 ELSE 0.85 END AS DOUBLE) AS confidence, {_anchor("raw_text")} AS temporal_anchor, {_summary} AS summary FROM raw""",
     "keywords_extract": f"WITH {ENTRY}, {_keywords} SELECT source_id, rel_path, array_to_string(ws, ',') AS keywords FROM known",
-    "temporal_anchors": f"SELECT id, {_anchor('text')} AS anchor FROM (VALUES {_text(MARKED)}) t(id, text)",
-    "content_classes": f"SELECT rel_path, {_class('rel_path')} AS content_class FROM (VALUES {_values((p,) for p in PATHS)}) t(rel_path)",
     "embedding_text": f"""WITH {ENTRY}, {_keywords}, texts AS (SELECT source_id, rel_path, concat_ws(chr(10), concat('[CLASS] ', {_class("rel_path")}), '[TIME] ' || {_anchor("content")}, '[TOPIC] ' || nullif(title, ''), '[ALIASES] ' || nullif(tag, ''), '[KEYWORDS] ' || nullif(array_to_string(ws, '; '), ''), '[RAW] ' || nullif(substr(content, 1, 400), '')) AS t FROM known)
 SELECT source_id, rel_path, md5(t) AS md5, CAST(length(t) AS INTEGER) AS length FROM texts""",
-    "llm_result_parse": f"""WITH rows AS (SELECT id, trim(regexp_replace(regexp_replace(reply, '^```(?:json)?\\s*', ''), '\\s*```$', '')) AS j FROM (VALUES {_text(REPLIES)}) t(id, reply)),
-valid AS (SELECT id, CAST(j AS JSON) AS j FROM rows WHERE json_valid(j)), own AS (SELECT id, coalesce(j->'$.segments[0]', j) AS o FROM valid),
-cells AS (SELECT id, o->>'$.topic' AS topic, o->>'$.normalizedText' AS normalized_text, coalesce(array_to_string(CAST(o->'$.concepts' AS VARCHAR[]), ';'), '') AS concepts, coalesce(array_to_string(CAST(o->'$.aliases' AS VARCHAR[]), ';'), '') AS aliases FROM own)
-SELECT * FROM cells WHERE topic IS NOT NULL AND normalized_text IS NOT NULL""",
 }

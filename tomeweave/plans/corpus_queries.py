@@ -98,39 +98,6 @@ def camel_split(spark: SparkSession, d: str) -> DataFrame:
     return words.where(F.size(pieces) > 1).groupBy("word", F.array_join(pieces, " ").alias("pieces")).agg(F.count("*").alias("n"))
 
 
-SAMPLES = ("倒排索引", "数据", "的", "无法同步配置文件", "报文解析异常", "")
-
-
-def cjk_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "id int, run string")
-    return rows.select("id", F.posexplode(T.bigrams(F.col("run"))).alias("place", "term"))
-
-
-WORDS = ("的", "系统", "数据", "失败", "index", "接口", "错误")
-
-
-def stopword_weights(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(w, f) for w in WORDS for f in ("title", "body")], "term string, field string")
-    base = T.base_weight(F.col("term"), F.lit(L.WEIGHTS["dictionary"]))
-    stop = T.stop_weight(F.col("term"), F.col("field"))
-    return rows.select("term", "field", F.round(base, 4).alias("base"), F.round(stop, 4).alias("stop"), F.round(T.effective_weight(base, stop, F.lit(1.0)), 4).alias("weight"))
-
-
-TEXTS = ("DLMS与COSEM", "xDLMS DLMS2 dlms.", "数据上送异常，数据上送", "HLS5/GMAC gmac_", "倒排索引")
-
-
-def domain_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Places of domain terms, overlaps included; terms of ASCII need other neighbours."""
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, text string")
-    terms = F.broadcast(spark.createDataFrame([(t.lower(), w) for t, w, _ in L.DOMAIN], "term string, weight double"))  # as many rows as the lexicon
-    places = rows.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
-    low = F.lower("text")
-    found = places.join(terms, F.substring(low, F.col("at"), F.length("term")) == F.col("term"))
-    side = lambda i: F.substring(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), i, F.lit(1))
-    apart = ~F.col("term").rlike("^[a-z0-9_]+$") | ~(side(F.col("at")).rlike("[A-Za-z0-9_]") | side(F.col("at") + F.length("term") + 1).rlike("[A-Za-z0-9_]"))
-    return found.where(apart).select("id", "term", (F.col("at") - 1).cast("int").alias("start"), "weight")
-
-
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(str(x) if isinstance(x, (int, float)) else "'" + x + "'" for x in r) + ")" for r in rows)
 
@@ -139,7 +106,7 @@ def _list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-QUERIES = {f.__name__: f for f in (entries_from_documents, list_files_prefix, directory_rollup, file_filter, token_spans, term_frequencies, document_frequencies, corpus_stats, identifier_parts, camel_split, cjk_bigrams, stopword_weights, domain_matches)}
+QUERIES = {f.__name__: f for f in (entries_from_documents, list_files_prefix, directory_rollup, file_filter, token_spans, term_frequencies, document_frequencies, corpus_stats, identifier_parts, camel_split)}
 SQL = {
     "entries_from_documents": f"WITH {ENTRIES} SELECT source_id, rel_path, title, tag AS tags, md5(content) AS md5, CAST(length(content) AS BIGINT) AS n_chars FROM entries",
     "list_files_prefix": f"WITH {ENTRIES} SELECT source_id, rel_path, CAST(row_number() OVER (PARTITION BY source_id ORDER BY rel_path) AS INTEGER) AS place FROM entries WHERE rel_path = '{PREFIX}' OR starts_with(rel_path, '{PREFIX}/')",
@@ -156,14 +123,4 @@ SELECT source_id, rel_path, run, start, start + length(run) AS "end" FROM summed
     "camel_split": r"""WITH words AS (SELECT unnest(regexp_extract_all(html, '[A-Za-z0-9]+')) AS word FROM pages),
 split AS (SELECT word, regexp_replace(regexp_replace(word, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g') AS pieces FROM words)
 SELECT word, pieces, count(*) AS n FROM split WHERE contains(pieces, ' ') GROUP BY word, pieces""",
-    "cjk_bigrams": f"""WITH rows AS (SELECT * FROM (VALUES {_values(enumerate(SAMPLES))}) t(id, run)), places AS (SELECT id, run, unnest(range(greatest(length(run) - 1, least(length(run), 1)))) AS place FROM rows)
-SELECT id, CAST(place AS INTEGER) AS place, substr(run, CAST(place AS INTEGER) + 1, 2) AS term FROM places""",
-    "stopword_weights": f"""WITH rows AS (SELECT * FROM (VALUES {_values((w, f) for w in WORDS for f in ("title", "body"))}) t(term, field)), soft AS (SELECT * FROM (VALUES {_values(L.SOFT.items())}) t(term, weight)),
-w AS (SELECT rows.term, field, CASE WHEN rows.term IN {_list(L.PROTECTED)} THEN 1.3 ELSE 1.0 END AS base,
-  CASE WHEN rows.term IN {_list(L.PROTECTED)} THEN 1.0 WHEN rows.term IN {_list(L.HARD)} THEN 0.0 WHEN soft.weight IS NULL THEN 1.0 WHEN field = 'title' THEN soft.weight + (1 - soft.weight) * 0.5 ELSE soft.weight END AS stop FROM rows LEFT JOIN soft ON rows.term = soft.term)
-SELECT term, field, round(CAST(base AS DOUBLE), 4) AS base, round(CAST(stop AS DOUBLE), 4) AS stop, round(CAST(CASE WHEN base * stop <= 0 THEN 0 ELSE least(2.0, greatest(0.05, base * stop)) END AS DOUBLE), 4) AS weight FROM w""",
-    "domain_matches": rf"""WITH rows AS (SELECT * FROM (VALUES {_values(enumerate(TEXTS))}) t(id, text)), terms AS (SELECT * FROM (VALUES {_values((t.lower(), w) for t, w, _ in L.DOMAIN)}) t(term, weight)),
-places AS (SELECT id, text, CAST(unnest(range(1, length(text) + 1)) AS INTEGER) AS p FROM rows)
-SELECT id, term, p - 1 AS start, CAST(weight AS DOUBLE) AS weight FROM places JOIN terms ON substr(lower(text), p, length(term)) = term
-WHERE NOT regexp_matches(term, '^[a-z0-9_]+$') OR NOT (regexp_matches(substr(concat(' ', text, ' '), p, 1), '[A-Za-z0-9_]') OR regexp_matches(substr(concat(' ', text, ' '), CAST(p + length(term) + 1 AS INTEGER), 1), '[A-Za-z0-9_]'))""",
 }
