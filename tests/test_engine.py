@@ -220,3 +220,89 @@ def test_semantic_rows_need_current_text(wiki):
     e.load(sid)
     rows, vector, centre = e._semantic("zebra", sid, F.lit(True))
     assert {r.rel_path for r in semantic.candidates(rows, vector, centre).collect()} == {"a.md", "sub/b.md", "sub/c.md"}
+
+
+def test_hits_tell_what_was_found(wiki):
+    e, sid, root = wiki
+    write(root, {"long.md": "# Long\nzebra\n## Herd\nzebra zebra\n## Other\nnothing here"})
+    e.load(sid)
+    hit = e.search("zebra").where("rel_path = 'long.md'").first()
+    assert [x.term for x in hit.evidence] == ["zebra"] and hit.evidence[0].contribution > 0 and "body" in hit.evidence[0].fields and hit.source_dir == str(root)
+    assert hit.chunk_index is None and "zebra" in hit.snippet
+    found = {r.rel_path: r for r in e.search("zebra", "semantic").collect()}
+    assert all(r.snippet.startswith(("▸ ", "⚠️ 弱匹配 (")) for r in found.values()) and found["long.md"].chunk_index is not None
+    best = found["long.md"]
+    assert best.chunk_heading in ("Long", "Herd") and best.start_line in (1, 3) and best.heading_path[0] == "Long" and best.evidence is None
+    mixed = e.search("zebra", "hybrid").where("rel_path = 'long.md'").first()
+    assert mixed.evidence and mixed.snippet == mixed.chunk_heading and mixed.semantic_score is not None
+
+
+def test_shown(spark):
+    none = F.array().cast("array<string>")
+    heads = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
+    cases = [
+        (semantic.shown(F.lit("t"), F.lit("A"), none, F.lit(1), F.lit(True), F.lit(0.7)), "💡 t"),
+        (semantic.shown(F.lit(None), F.lit("A"), heads, F.lit(3), F.lit(True), F.lit(0.7)), "▸ A | +2块: B, C"),
+        (semantic.shown(F.lit(None), F.lit(None).cast("string"), none, F.lit(2), F.lit(True), F.lit(0.7)), " | +1块命中"),
+        (semantic.shown(F.lit("t"), F.lit("A"), heads, F.lit(3), F.lit(False), F.lit(0.425)), "⚠️ 弱匹配 (43%)"),
+    ]
+    row = spark.range(1).select(*[c.alias(str(i)) for i, (c, _) in enumerate(cases)]).first()
+    assert list(row) == [want for _, want in cases]
+
+
+def test_pair_scorer_reads_title_heading_and_chunk(spark, tmp_path):
+    write(tmp_path / "w", {f"n{i}.md": f"# N{i}\nintro\n## Part\ntopic item{i}" for i in range(5)})
+    e = E.Engine(spark, str(tmp_path / "home"), embed.hashing_embedder(32), reranking=E.Reranking(True, 5, 5, 2))
+    sid = e.add_source(str(tmp_path / "w"))
+    e.load(sid)
+
+    def load():
+        def rate(pairs):
+            assert len(pairs) <= 2 and all(q == "topic item3" for q, _ in pairs)
+            return [float("N3" in t and "item3" in t) for _, t in pairs]
+
+        return rate
+
+    e.scorer = semantic.pair_scorer(load, e.reranking.batch)
+    first = e.search("topic item3", "hybrid").orderBy("place").first()
+    assert first.rel_path == "n3.md" and first.rerank_score == 1.0
+    before = paths(e.search("topic item3", "hybrid").orderBy("rank"))
+    e.scorer = semantic.pair_scorer(lambda: lambda pairs: [1.0], 8)  # too few scores: as it was
+    assert paths(e.search("topic item3", "hybrid").orderBy("rank")) == before
+
+
+def test_chunk_enrichment(wiki):
+    e, sid, root = wiki
+    e.load(sid)
+    raw = e.raw_chunks(sid).where("rel_path = 'a.md'").orderBy("chunk_index").collect()
+    total = e.raw_chunks(sid).count()
+    last = raw[-1].chunk_index
+    was = {r.chunk_index: r.embedding for r in e._rows("vectors").where("rel_path = 'a.md'").collect()}
+    said = [{"chunk_index": last, "topic": "fruit", "normalizedText": "Apples.", "concepts": ["pome"]}, {"chunk_index": 99, "topic": "x", "normalizedText": "y"}]
+    assert e.store_chunks("a.md", sid, said) == 1
+    now = {r.chunk_index: r.embedding for r in e._rows("vectors").where("rel_path = 'a.md'").collect()}
+    assert set(was) == set(now) and [i for i in was if was[i] != now[i]] == [last]
+    assert e.raw_chunks(sid).count() == total - 1 and e.raw_chunks(sid, only_new=False).where("compiled").count() == 1
+    assert paths(e.search("apple")) == ["a.md"]
+    assert e.store_segments("a.md", sid, [{"topic": "one", "normalizedText": "First."}, {"topic": "two", "normalizedText": "Second."}]) == 2
+    assert sorted(r.chunk_index for r in e._rows("vectors").where("rel_path = 'a.md'").collect()) == [0, 1] and e._rows("told").count() == 2
+    assert e.store_chunks("a.md", sid, []) == 0
+    # enrichment goes with the text
+    e.modify("a.md", "# Alpha\nother")
+    assert e._rows("told").count() == 0 and e.raw_chunks(sid).where("rel_path = 'a.md'").count() == e.chunks("a.md", sid).count()
+
+
+def test_feed_and_models(wiki, spark, tmp_path):
+    e, sid, root = wiki
+    e.load(sid)
+    write(root, {"a.md": "# Alpha\npapaya", "new.md": "# New\nfig"})
+    (root / "sub/b.md").unlink()
+    rows = [(sid, "a.md", 1), (sid, "a.md", 2), (sid, "a.md", 3), (sid, "new.md", 4), (sid, "sub/b.md", 5), (sid, "../out.md", 6), ("none", "x.md", 7)]
+    spark.createDataFrame(rows, "source_id string, rel_path string, seq long").write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("source_id string, rel_path string, seq long").parquet(str(tmp_path / "feed"))
+    query = e.follow(stream, str(tmp_path / "point"))
+    query.awaitTermination()
+    assert query.exception() is None and e.fed == {"applied": 3, "superseded": 2, "unknown": 2}
+    assert paths(e.search("papaya")) == ["a.md"] and paths(e.search("fig")) == ["new.md"] and paths(e.search("banana")) == []
+    assert e.model_choice()["dim"] == 768 and e.select_model("none") is None
+    assert e.select_model("bge-m3")["dim"] == 1024 and e.model_choice()["id"] == "bge-m3"

@@ -22,7 +22,7 @@ LEXICAL_LEAST, LEXICAL_MOST = 0.15, 1.8
 # Words that are no keywords.
 NO_KEYWORDS = tuple("可以 一个 这个 不是 还是 如果 因为 所以 但是 而且 或者 以及 就是 没有 已经 什么 怎么 这样 那样 时候 问题 需要 通过 进行 使用 用于 可能 应该 然后 the and for from with that this are not but has was".split())
 # Embedding models (id, dimensions, most tokens).
-MODELS = ((0, 768, 512), (1, 1024, 8192), (2, 384, 128))
+MODELS = (("bge-base-zh-v1.5", 768, 512), ("bge-m3", 1024, 8192), ("paraphrase-multilingual", 384, 128))
 # Scripts that are segmented, and characters of identifiers.
 CJK = "㐀-䶿一-鿿豈-﫿\U00020000-\U0002a6df\U0002f800-\U0002fa1f"
 RUN = "[A-Za-z0-9_./-]+"

@@ -10,17 +10,21 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import analyze, bm25, chunk, compile, embed, manifest, semantic, snippets
 from ..sources.corpus import parsed, scan
 from ..sources.store import Store
+from ..streaming import changes as feed
 
 KEY = ["source_id", "rel_path"]
 EMPTY = "source_id string, rel_path string"
+EVIDENCE = "array<struct<term:string,query_weight:double,document_weight:double,df:bigint,contribution:double,fields:string>>"
+PLACES = "array<struct<chunk_index:int,heading:string,heading_path:array<string>,start_line:int,end_line:int>>"
 
 
 @dataclass(frozen=True)
@@ -28,10 +32,11 @@ class Reranking:
     enabled: bool = False
     inputs: int = 20
     outputs: int = 10
+    batch: int = 8
 
     def __post_init__(self):
-        if self.inputs < 1 or self.outputs < 1:
-            raise ValueError("inputs and outputs must be positive")
+        if min(self.inputs, self.outputs, self.batch) < 1:
+            raise ValueError("inputs, outputs and batch must be positive")
 
 
 def source_id(path: str) -> str:
@@ -60,6 +65,7 @@ class Engine:
         self.spark, self.store = spark, Store(spark, home)
         self.embedder, self.analyser, self.model = embedder, analyser or analyze.Analyser(), model
         self.reranking, self.scorer = reranking or Reranking(), scorer
+        self.fed = {"applied": 0, "superseded": 0, "unknown": 0}
 
     # --- sources ------------------------------------------------------------------------
     def sources(self) -> list[dict]:
@@ -92,7 +98,7 @@ class Engine:
         found = self.store.read(name)
         if found is not None:
             return found
-        extra = {"entries": ", title string, tags array<string>, content string, source_dir string, mtime string", "manifest": ", md5 string, file_size int, semantic_md5 string, compiled_md5 string", "vectors": ", chunk_index int, content_md5 string, embedding array<double>", "docs": ", len int", "postings": ", term string, field string, tf int, token_weight double", "chunks": ", chunk_index int, heading string, level int, embed_text string, raw_text string, heading_path array<string>, wikilinks array<string>, start_line int, end_line int, chunk_type string", "compiled": ", topic string, normalizedText string, concepts array<string>, aliases array<string>"}
+        extra = {"entries": ", title string, tags array<string>, content string, source_dir string, mtime string", "manifest": ", md5 string, file_size int, semantic_md5 string, compiled_md5 string", "vectors": ", chunk_index int, content_md5 string, embedding array<double>", "docs": ", len int", "postings": ", term string, field string, tf int, token_weight double", "chunks": ", chunk_index int, heading string, level int, embed_text string, raw_text string, heading_path array<string>, wikilinks array<string>, start_line int, end_line int, chunk_type string", "told": ", chunk_index int, topic string, normalizedText string, concepts array<string>, aliases array<string>, keywords array<string>", "compiled": ", topic string, normalizedText string, concepts array<string>, aliases array<string>"}
         return self.spark.createDataFrame([], EMPTY + extra[name])
 
     def _apply(self, rows: DataFrame, gone: DataFrame | None = None) -> int:
@@ -306,13 +312,13 @@ class Engine:
         return rows, vector, semantic.centres(rows)
 
     def search(self, query: str, mode: str = "keyword", which: str | None = None, prefix: str | None = None, top: int = 50) -> DataFrame:
-        """(source_id, rel_path, title, tags, snippet, score, rank) of the best entries. All sources are ranked in one job, each by its own statistics."""
+        """The best entries: source_id, rel_path, source_dir, title, tags, snippet, score and rank; of semantic finds the best chunk's place and heading, of keyword finds the evidence by term. All sources are ranked in one job, each by its own statistics."""
         if mode not in ("keyword", "semantic", "hybrid"):
             raise ValueError(mode)
         own, include = self._scope(which, prefix)
         if mode != "keyword" and self.embedder is None:
             mode = "keyword" if mode == "hybrid" else mode
-        terms = list(self.analyser.query(query))
+        weights = self.analyser.query(query)
         if mode == "keyword":
             hits = self._keyword(query, own, include, 200)
         elif self.embedder is None:
@@ -320,22 +326,61 @@ class Engine:
         else:
             rows, vector, centre = self._semantic(query, own, include)
             if mode == "semantic":
-                hits = semantic.search(rows, vector, centre, include)
+                hits = semantic.search(rows, vector, centre, include, listed=True)
             else:
                 hits = semantic.fused(self._keyword(query, own, include, semantic.FUSION_TOP), semantic.candidates(rows, vector, centre, include=include))
         order = {s["id"]: i for i, s in enumerate(self.sources())}
         known = F.from_json(F.lit(json.dumps(order)), "map<string,int>")
         place = F.coalesce(F.element_at(known, F.col("source_id")), F.lit(len(order)))
         cut = max(top, self.reranking.inputs if mode == "hybrid" and self.reranking.enabled else top)
-        best = hits.select(*KEY, "score", F.col("rank").alias("_own")).withColumn("_place", place).orderBy(F.desc("score"), "_place", "_own").limit(cut)
-        best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "_place", "_own")))
-        found = self._rows("entries").join(F.broadcast(best), KEY)  # at most `cut` rows
-        out = found.select(*KEY, "title", "tags", snippets.snippet(F.col("content"), terms or [query.lower()]).alias("snippet"), "score", "rank", "content")
+        empty = {"semantic_score": "double", "chunk_index": "int", "chunks": "long", "indexes": "array<int>", "strong": "boolean"}
+        told = [F.col(c).cast(kind) if c in hits.columns else F.lit(None).cast(kind).alias(c) for c, kind in empty.items()]
+        best = hits.select(*KEY, "score", F.col("rank").alias("_own"), *told).withColumn("_place", place).orderBy(F.desc("score"), "_place", "_own").limit(cut)
+        page = best.collect()  # at most `cut` rows, which the tables below are then read for
+        best = self.spark.createDataFrame([(*r, i + 1) for i, r in enumerate(page)], StructType([*best.schema.fields, StructField("rank", IntegerType())])).drop("_own", "_place")
+        out = self._shown(best, {r.rel_path for r in page}, mode, query, weights)
         if mode == "hybrid" and self.reranking.enabled and self.scorer is not None:
-            rows = semantic.reranked_or_as_was(out, self.scorer, self.reranking.inputs, self.reranking.outputs)
+            rows = semantic.reranked_or_as_was(out.withColumn("query", F.lit(query)), self.scorer, self.reranking.inputs, self.reranking.outputs)
             kinds = StructType([*out.schema.fields, StructField("rerank_score", DoubleType()), StructField("place", IntegerType())])
-            return self.spark.createDataFrame([tuple(r.asDict().get(n) for n in kinds.names) for r in rows], kinds).drop("content")
-        return out.drop("content").orderBy("rank").limit(top)
+            return self.spark.createDataFrame([tuple(r.asDict().get(n) for n in kinds.names) for r in rows], kinds).drop("content", "text")
+        return out.drop("content", "text").orderBy("rank").limit(top)
+
+    def _shown(self, best: DataFrame, paths: set[str], mode: str, query: str, weights: dict[str, float]) -> DataFrame:
+        """A page of hits with what is shown of each and the text that a re-ranker reads. Hits of hybrid search whose entry is gone keep their place with defaults."""
+        mine = lambda name: self._rows(name).where(F.col("rel_path").isin(*paths) if paths else F.lit(False))
+        best = F.broadcast(best)  # a page of hits
+        entry = mine("entries").select(*KEY, "title", "tags", "source_dir", "content")
+        rows = best.join(entry, KEY, "left" if mode == "hybrid" else "inner")
+        if mode == "keyword":
+            rows = rows.withColumn("_chunks", F.lit(None).cast(PLACES))
+        else:
+            place = F.struct("chunk_index", F.regexp_replace("heading", "^#+\\s*", "").alias("heading"), "heading_path", "start_line", "end_line")
+            chunks = mine("chunks").select(*KEY, place.alias("c")).join(best.select(*KEY), KEY, "left_semi")
+            rows = rows.join(chunks.groupBy(*KEY).agg(F.array_sort(F.collect_list("c")).alias("_chunks")), KEY, "left")  # a file's chunks
+        if mode == "semantic":
+            rows = rows.join(manifest.usable_compiled(mine("compiled"), mine("manifest")).select(*KEY, "topic"), KEY, "left")
+        if weights and mode != "semantic":
+            docs = self._rows("docs")
+            why = bm25.evidence(bm25.Index(docs, self._rows("postings"), bm25.statistics(docs)), weights).join(best.select(*KEY), KEY, "left_semi")
+            why = why.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term", "query_weight", "document_weight", "df", "contribution", "fields"))), lambda e: e.dropFields("place")).alias("evidence"))  # a query's terms
+            rows = rows.join(why, KEY, "left")
+        else:
+            rows = rows.withColumn("evidence", F.lit(None).cast(EVIDENCE))
+        hit = F.get(F.filter("_chunks", lambda c: c["chunk_index"] == F.col("chunk_index")), F.lit(0))
+        rows = rows.withColumn("_hit", hit).withColumn("chunk_heading", F.col("_hit.heading"))
+        found = snippets.snippet(F.col("content"), list(weights) or [query.lower()])
+        if mode == "semantic":
+            heads = F.transform(F.filter("_chunks", lambda c: F.array_contains("indexes", c["chunk_index"])), lambda c: c["heading"])
+            shown = semantic.shown(F.col("topic"), F.col("chunk_heading"), F.coalesce(heads, F.array().cast("array<string>")), F.col("chunks"), F.col("strong"), F.col("semantic_score"))
+        elif mode == "hybrid":
+            shown = F.when(F.coalesce("chunk_heading", F.lit("")) != "", F.col("chunk_heading")).otherwise(F.coalesce(found, F.lit("")))
+        else:
+            shown = found
+        lines = F.array_join(F.slice(F.split("content", "\n"), F.col("_hit.start_line"), F.greatest(F.lit(1), F.col("_hit.end_line") - F.col("_hit.start_line") + 1)), "\n")
+        path = F.array_join(F.coalesce("_hit.heading_path", F.array().cast("array<string>")), " > ")
+        rows = rows.withColumn("snippet", shown).withColumn("title", F.coalesce("title", F.lit(""))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        text = semantic.rerank_text(F.col("title"), F.when(path != "", path).otherwise(F.col("chunk_heading")), F.when(F.col("_hit").isNotNull(), lines), F.col("snippet"))
+        return rows.select(*KEY, "source_dir", "title", "tags", "snippet", "score", "rank", "semantic_score", "chunk_index", "chunk_heading", "_hit.heading_path", "_hit.start_line", "_hit.end_line", "evidence", "content", text.alias("text"))
 
     # --- enrichment -----------------------------------------------------------------------
     def compile(self, path: str, which: str) -> bool:
@@ -356,7 +401,7 @@ class Engine:
         entry = mine(self._rows("entries"))
         fields = bm25.fields(entry, result.select(*KEY, F.inline(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("text")) for n, v in (("topic", F.col("topic")), ("normalizedText", F.col("normalizedText")), ("concepts", F.array_join("concepts", " ")), ("aliases", F.array_join("aliases", " ")))]))))
         index = bm25.index_of_tokens(analyze.tokens_of(fields, self.analyser))
-        tables = {"entries": entry, "manifest": state, "chunks": mine(self._rows("chunks")), "docs": index.docs, "postings": index.postings, "compiled": result}
+        tables = {"entries": entry, "manifest": state, "chunks": mine(self._rows("chunks")), "docs": index.docs, "postings": index.postings, "compiled": result, "told": mine(self._rows("told"))}
         if self.embedder is not None:
             told = F.struct("topic", "normalizedText", "concepts", "aliases")
             text = result.select(*KEY, compile.file_embedding_text(F.col("rel_path"), told).alias("t"))
@@ -373,3 +418,86 @@ class Engine:
                 break
             done += self.compile(r.rel_path, r.source_id)
         return done
+
+    def raw_chunks(self, which: str | None = None, only_new: bool = True) -> DataFrame:
+        """(source_id, rel_path, chunk_index, heading, raw_text, compiled): chunks to enrich, those that are enriched too if asked for."""
+        own, _ = self._scope(which, None)
+        rows = self._rows("chunks") if own is None else self._rows("chunks").where(F.col("source_id") == own)
+        done = self._rows("told").where("normalizedText <> ''").select(*KEY, "chunk_index", F.lit(True).alias("compiled"))
+        rows = rows.select(*KEY, "chunk_index", "heading", "raw_text").join(done, [*KEY, "chunk_index"], "left").withColumn("compiled", F.coalesce("compiled", F.lit(False)))
+        return rows.where("not compiled") if only_new else rows
+
+    def store_chunks(self, path: str, which: str, results: list[dict]) -> int:
+        """Keep what a model said of a file's chunks (chunk_index, topic, normalizedText, concepts, aliases, keywords) and embed them by it; results for chunks that don't exist are passed over. A change of the file drops it all."""
+        return self._store_told(path, which, results, False)
+
+    def store_segments(self, path: str, which: str, segments: list[dict]) -> int:
+        """Keep a file's segments in place of its chunks' enrichment and vectors, numbered from 0."""
+        return self._store_told(path, which, [{**s, "chunk_index": i} for i, s in enumerate(segments)], True)
+
+    def _store_told(self, path: str, which: str, results: list[dict], instead: bool) -> int:
+        own, _ = self._scope(which, None)
+        mine = lambda name: self._rows(name).where((F.col("source_id") == own) & (F.col("rel_path") == path))
+        rows = [(own, path, r["chunk_index"], r.get("topic") or "", r.get("normalizedText") or "", r.get("concepts") or [], r.get("aliases") or [], r.get("keywords") or []) for r in results]
+        told = self.spark.createDataFrame(rows, self._rows("told").schema if not rows else EMPTY + ", chunk_index int, topic string, normalizedText string, concepts array<string>, aliases array<string>, keywords array<string>").dropDuplicates(["chunk_index"])
+        chunks = mine("chunks")
+        told = told.join(chunks.select(*KEY, "chunk_index"), [*KEY, "chunk_index"], "left_semi") if not instead else told
+        told = self.spark.createDataFrame(told.collect(), told.schema)  # a file's results
+        n = told.count()
+        if not n:
+            return 0
+        same = ["source_id", "rel_path", "chunk_index"]
+        old = mine("told").select(*told.columns)
+        tables = {name: mine(name) for name in ("entries", "manifest", "chunks", "docs", "postings", "compiled")}
+        tables["told"] = told if instead else told.unionByName(old.join(told.select(*same), same, "left_anti"))
+        if self.embedder is not None:
+            text = F.coalesce("raw_text", F.lit(""))
+            rows = told.withColumnRenamed("keywords", "said").join(chunks.select(*same, "raw_text"), same, "left")
+            keys = F.when(F.size("said") > 0, F.col("said")).otherwise(T.keywords(text))
+            said = compile.chunk_embedding_text(T.content_class(F.col("rel_path")), T.temporal_anchor(text), F.col("topic"), F.col("concepts"), F.col("aliases"), keys, F.col("normalizedText"), text)
+            new = rows.select(*same, said.alias("t")).select(*same, F.md5("t").alias("content_md5"), embed.embedded(F.col("t"), self.embedder).alias("embedding"))
+            before = mine("vectors").where("chunk_index is null") if instead else mine("vectors").join(told.select(*same), same, "left_anti")
+            tables["vectors"] = before.select(*new.columns).unionByName(new)
+        self.store.commit(mine("entries").select(*KEY), tables)
+        return n
+
+    # --- feed and models ------------------------------------------------------------------
+    def apply_changes(self, changes: DataFrame, number: int = 0) -> dict[str, int]:
+        """Read the files named by changes (source_id, rel_path, seq) again, each once however often it changed; counts so far. Files are taken as they are now, so a batch that is sent again does no harm."""
+        counted = changes if "coalesced" in changes.columns else feed.latest(changes.select(*KEY, "seq"), KEY, ["seq"])
+        for source in [r.source_id for r in counted.select("source_id").distinct().collect()]:  # registered folders
+            own = self.source(source)
+            part: list[str] = []
+            for row in counted.where(F.col("source_id") == source).orderBy("rel_path").toLocalIterator():
+                if own is None or self._full(own, row.rel_path) is None:
+                    self.fed["unknown"] += 1
+                    continue
+                self.fed["applied"] += 1
+                self.fed["superseded"] += row.coalesced - 1
+                part.append(row.rel_path)
+                if len(part) == 500:
+                    self._refresh(own, *part)
+                    part = []
+            if part:
+                self._refresh(own, *part)
+        return dict(self.fed)
+
+    def follow(self, stream: DataFrame, checkpoint: str, once: bool = True):
+        """Apply a stream of changes; with once, what has come so far, after which the query ends (awaitTermination drains it)."""
+        return feed.follow(stream, KEY, ["seq"], self.apply_changes, checkpoint, once)
+
+    @staticmethod
+    def models() -> list[dict]:
+        return [{"id": i, "dim": dim, "max_tokens": most} for i, dim, most in L.MODELS]
+
+    def model_choice(self) -> dict:
+        """The embedding model that is chosen, by default the first."""
+        known = {m["id"]: m for m in self.models()}
+        return known.get(self.store.settings().get("model"), self.models()[0])
+
+    def select_model(self, which: str) -> dict | None:
+        """Choose a known model; null for an unknown one. The embedder itself is passed in; vectors that are stored stay until their text changes."""
+        if which not in {m["id"] for m in self.models()}:
+            return None
+        self.store.commit(settings={"model": which})
+        return self.model_choice()

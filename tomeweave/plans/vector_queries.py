@@ -62,7 +62,7 @@ def semantic_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
-    return semantic.fused(bm25.search(index(spark, d), WEIGHTS, semantic.FUSION_TOP), semantic.candidates(rows, query_vector(spark, d), semantic.centres(rows)))
+    return semantic.fused(bm25.search(index(spark, d), WEIGHTS, semantic.FUSION_TOP), semantic.candidates(rows, query_vector(spark, d), semantic.centres(rows))).drop("chunk_index", "semantic_score")
 
 
 def hybrid_per_source(spark: SparkSession, d: str) -> DataFrame:
