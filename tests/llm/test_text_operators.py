@@ -473,6 +473,34 @@ def test_keep_one_tells_components_apart_without_ids(spark, tmp_path):
     assert Counter(kept) == Counter([(None, a), (None, b), (7, c), (7, d)])
 
 
+def test_only_texts_to_compare_are_shuffled(spark, tmp_path, monkeypatch):
+    """Beyond Spark's own limit for broadcasts too; with more hashes than are broadcast, the links are the same."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(600)) for _ in range(200)]
+    texts += [t + " tail" for t in texts[:3]] + [texts[0]]
+    docs = spark.read.parquet(folder(tmp_path / "t", [(i, t, "en", "a", 1) for i, t in enumerate(texts)]) + "/documents.parquet")
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    keys = dict(docs.select("doc_id", F.xxhash64("text")).collect())
+    pairs = [(keys[i], i, keys[200 + i], 200 + i) for i in range(3)] + [(keys[0], 0, keys[1], 1)]
+    pairs = spark.createDataFrame(pairs, "h long, hfp long, t long, tfp long")
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = {(r.a, r.b) for r in simhash.verified(pairs, rows, 0.8).collect()}
+        assert shuffled() - before < sum(map(len, texts)) / 4
+        monkeypatch.setattr(simhash, "FEW", 0)
+        assert {(r.a, r.b) for r in simhash.verified(pairs, rows, 0.8).collect()} == got == {(200 + i, i) for i in range(3)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_pipeline_drops_copies_of_five_word_similarity(spark, tmp_path):
     rng = random.Random(6)
     rows = []

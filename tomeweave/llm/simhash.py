@@ -30,6 +30,7 @@ the highest similarity that the pair can have (which loses none). What is left i
 Then they leave the bucket, until all that is left
 there is linked. So no link is lost, and a bucket of copies takes one comparison a text. Buckets and
 comparisons are streams that hold a few hundred sketches or one text, dealt into parts where many meet.
+The texts to compare exactly are picked by a broadcast of at most `FEW` hashes, else by a shuffled join.
 
 Null and empty texts have fingerprint zero, linked like any other. Texts of any length are read
 whole. Repeated rows and equal doc_ids are harmless; a null doc_id is never chosen as a component's
@@ -57,6 +58,8 @@ CROWD, FEW_BITS = 16384, 16
 STREAM, PART, HUBS, SMALL = 512, 4096, (1, 4096), 64
 #: MinHash bands and hashes in each; words of a shingle for similarity.
 BANDS, DEPTH, WORDS = 32, 7, 5
+#: Up to so many hashes of texts are broadcast (about 64 bytes each), so that only their texts are shuffled; beyond, all texts are.
+FEW = 2_000_000
 #: Bytes of a sketch: MinHashes, the number of shingles, the map of their bits.
 LOW, NUMBER, MAP = BANDS * DEPTH // 2, 8, 128
 
@@ -301,7 +304,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (h, hfp, t, tfp) of text hashes and fingerprints those (a, b), as fingerprints, whose texts (text_hash, text) have this similarity."""
     pairs = settle(pairs, "pairs")
-    wanted = pairs.select(F.col("h").alias("text_hash")).unionByName(pairs.select(F.col("t").alias("text_hash"))).distinct()
+    wanted = settle(pairs.select(F.col("h").alias("text_hash")).unionByName(pairs.select(F.col("t").alias("text_hash"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
 
     def measure(batches):
         for batch in batches:
@@ -372,7 +376,7 @@ def similar_groups(documents: DataFrame, fps: DataFrame, near: DataFrame, simila
     texts = documents.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     each = settle(fps.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("t"), "fp", "bands", "sketch"), "texts")
     keys = each.select(F.explode("bands").alias("key"), "t")
-    shared = settle(keys.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("key"), "shared-bands")
+    shared = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-bands")
     buckets = settle(keys.join(shared, "key").join(each.select("t", "fp", "sketch"), "t"), "buckets")
     found, roots, step = near, None, 0
     while True:
