@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tomeweave.functions import text as T
 from tomeweave.functions import vectors as V
 from tomeweave.operators import analyze, bm25, embed, semantic
 
@@ -169,3 +170,24 @@ def test_hashing_embedder(spark):
     assert np.allclose(v[0], v[1]) and np.allclose(np.linalg.norm(v[[0, 3]], axis=1), 1) and not v[2].any()
     rows = spark.createDataFrame([(0, "alpha beta"), (1, None)], "i int, t string").select("i", embed.embedded(F.col("t"), e).alias("v")).orderBy("i").collect()
     assert np.allclose(rows[0].v, v[0]) and rows[1].v is None
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_of_documents_are_counted_without_a_shuffle(spark):
+    assert exchanges(index(spark).postings) == 0
+    again = index(spark, [*ROWS, ("s", "a.md", "alpha", ["x"], "alpha Omega.")]).postings
+    assert {(r.field, r.term): r.tf for r in again.where("rel_path = 'a.md'").collect()} == {("body", "alpha"): 2, ("body", "beta"): 2, ("body", "gamma"): 1, ("body", "omega"): 1, ("body", "omega."): 1, ("title", "alpha"): 2}
+
+
+def test_counted_terms_are_the_expressions_terms(spark):
+    texts = ["Foo. fooBar.baz a/b.c.md HTTPServer/x ./a.b/c.d/ x. . -- É9.a_b A.B a", "", "v1.2.3/readme.MD. e.g. i", None]
+    rows = [("s", f"{i}.md", t, [], t) for i, t in enumerate(texts)]
+    said = spark.createDataFrame(rows, ENTRY).where("content is not null").select("rel_path", T.terms(F.concat(T.bracketed(F.col("rel_path")), F.lit("\n"), F.col("content"))).alias("w")).collect()
+    got = {r.rel_path: r for r in bm25.counted(spark.createDataFrame(rows, ENTRY)).collect()}
+    for r in said:
+        own = sorted(p.term for p in got[r.rel_path].found if p.field == "body" for _ in range(p.tf))
+        assert own == sorted(r.w) and got[r.rel_path].len == len(r.w)
+    assert len(got) == len(said) == 3

@@ -7,15 +7,17 @@ path filters act on postings after the statistics are taken.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.vectors import half_up
+from . import counts
 
 KEY = ("source_id", "rel_path")
 
@@ -38,8 +40,9 @@ def fields(entries: DataFrame, compiled: DataFrame | None = None) -> DataFrame:
 @dataclass
 class Index:
     docs: DataFrame  # source_id, rel_path, len
-    postings: DataFrame  # source_id, term, rel_path, field, tf, token_weight
+    postings: DataFrame  # source_id, term, rel_path, field, tf, token_weight; len if it is at hand
     stats: DataFrame  # source_id, n, avgdl
+    rows: DataFrame | None = None  # source_id, rel_path, len, found: all of it, a row for each document
 
     def of(self, terms: list[str]) -> DataFrame:
         return self.postings.where(F.col("term").isin(terms))
@@ -47,20 +50,38 @@ class Index:
     def regrouped(self, source: Column) -> Index:
         """The same documents under other sources."""
         docs = self.docs.withColumn("source_id", source)
-        return Index(docs, self.postings.withColumn("source_id", source), statistics(docs))
+        return Index(docs, self.postings.withColumn("source_id", source), statistics(docs), self.rows and self.rows.withColumn("source_id", source))
+
+    def measured(self, postings: DataFrame) -> DataFrame:
+        """postings with their document's length."""
+        return postings if "len" in postings.columns else postings.join(self.docs, list(KEY))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def index_of_terms(listed: DataFrame, only: list[str] | None = None) -> Index:
-    """An index from (source_id, rel_path, field, terms), for text whose terms all weigh the same; `only` keeps postings of some terms."""
-    docs = listed.where("field = 'body'").select(*KEY, F.size("terms").alias("len"))
-    wanted = listed if only is None else listed.withColumn("terms", F.filter("terms", lambda t: t.isin(only)))
-    each = wanted.select(*KEY, "field", F.explode("terms").alias("term"))
-    postings = each.groupBy("source_id", "term", "rel_path", "field").agg(F.count("*").cast("int").alias("tf")).withColumn("token_weight", F.lit(L.WEIGHTS["identifier"]))
-    return Index(docs, postings, statistics(docs))
+def counted(entries: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(source_id, rel_path, len, found): a row for each document with its terms (of `only`) counted by field, for collections without CJK text."""
+    path = T.bracketed(F.col("rel_path"))
+    body = F.concat(path, F.lit("\n"), F.coalesce("content", F.lit("")))
+    return counts.counted(entries.where("content is not null").select(*KEY, body.alias("body"), "title", path.alias("path"), F.array_join("tags", " ").alias("tags")), only)
+
+
+def repeated(rows: DataFrame) -> bool:
+    """Whether any key stands in several rows."""
+    return not rows.groupBy(*KEY).count().where("count > 1").isEmpty()
+
+
+def index_of_counts(rows: DataFrame, again: bool) -> Index:
+    """An index from rows as `counted` gives them. again: whether keys are repeated; only then their counts are added up, else each row has whole counts and its length beside them."""
+    docs, weight = rows.select(*KEY, "len"), F.lit(L.WEIGHTS["identifier"])
+    if again:
+        each = rows.select(*KEY, F.inline("found"))
+        postings = each.groupBy("source_id", "term", "rel_path", "field").agg(F.sum("tf").cast("int").alias("tf")).withColumn("token_weight", weight)
+        return Index(docs, postings, statistics(docs))
+    postings = rows.select(*KEY, "len", F.inline("found")).select("source_id", "term", "rel_path", "field", "tf", weight.alias("token_weight"), "len")
+    return Index(docs, postings, statistics(docs), rows)
 
 
 def index_of_tokens(tokens: DataFrame) -> Index:
@@ -77,15 +98,16 @@ def index_of_tokens(tokens: DataFrame) -> Index:
 
 
 def plain_index(entries: DataFrame, only: list[str] | None = None) -> Index:
-    """An index by expressions alone, for collections without CJK text."""
-    return index_of_terms(fields(entries).select(*KEY, "field", T.terms(F.col("text")).alias("terms")), only)
+    """An index by one pass over each text, for collections without CJK text; `only` keeps postings of some terms."""
+    return index_of_counts(counted(entries, only), repeated(entries.where("content is not null")))
 
 
-def stored(index: Index, keep: Callable[[str, Callable[[], DataFrame]], DataFrame]) -> Index:
-    """An index whose tables are kept (name, builder) and read: postings in ranges of source and term, so that a term's row groups are few."""
-    postings = keep("postings", lambda: index.postings.repartitionByRange("source_id", "term").sortWithinPartitions("source_id", "term"))
-    docs = keep("docs", lambda: index.docs)
-    return Index(docs, postings, statistics(docs))
+def frequencies(index: Index) -> DataFrame:
+    """(source_id, term, df): in how many documents of each source a term stands, in whatever field."""
+    if index.rows is None:
+        return index.postings.select("source_id", "term", "rel_path").distinct().groupBy("source_id", "term").agg(F.count("*").alias("df"))
+    once = F.array_distinct(F.transform("found", lambda x: x["term"]))
+    return index.rows.select("source_id", F.explode(once).alias("term")).groupBy("source_id", "term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -112,7 +134,7 @@ def scored_postings(index: Index, query: dict[str, float], include: Column | Non
         weight = F.when(F.col("term") == term, F.lit(float(w))).otherwise(weight)
     known = df.join(index.stats, "source_id").where((F.col("n") <= 1) | (F.col("df") < L.NOISE_SHARE * F.col("n")) | F.col("term").isin(*protected))
     rows = found.where(include) if include is not None else found
-    rows = rows.join(known, ["source_id", "term"]).join(index.docs, list(KEY)).where("avgdl > 0").withColumn("query_weight", weight)
+    rows = index.measured(rows.join(known, ["source_id", "term"])).where("avgdl > 0").withColumn("query_weight", weight)
     lexical = F.least(F.lit(L.LEXICAL_MOST), F.greatest(F.lit(L.LEXICAL_LEAST), F.sqrt(F.col("query_weight") * F.col("token_weight"))))
     part = field_weight(F.col("field")) * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl")) * lexical
     return rows.withColumn("lexical_weight", lexical).withColumn("part", part)
@@ -133,19 +155,59 @@ def evidence(index: Index, query: dict[str, float], include: Column | None = Non
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("contribution"), "term")))
 
 
+#: Asked terms that are sent to tasks, (query, term) pairs, and terms by source that count; with more, postings are joined.
+MOST_TERMS, MOST_ASKED, MOST_KNOWN = 100_000, 1_000_000, 1_000_000
+
+
+def asked_terms(queries: DataFrame) -> list[str] | None:
+    """The distinct terms of a table of queries (terms), none if they are more than `MOST_TERMS`."""
+    found = queries.select(F.explode("terms").alias("term")).distinct().limit(MOST_TERMS + 1).collect()
+    return None if len(found) > MOST_TERMS else sorted(r.term for r in found)
+
+
 def batch(index: Index, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, source_id, rel_path, score, rank) for a table of queries (query_id, terms), each term once; statistics are shared by all."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    mine = index.postings.join(asked.select("term").distinct(), "term")
-    df = mine.groupBy("source_id", "term").agg(F.countDistinct("rel_path").alias("df"))
-    known = df.join(index.stats, "source_id").where((F.col("n") <= 1) | (F.col("df") < L.NOISE_SHARE * F.col("n")))
-    part = field_weight(F.col("field")) * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl")) * F.least(F.lit(L.LEXICAL_MOST), F.sqrt(F.lit(L.WEIGHTS["identifier"]) * F.col("token_weight")))
-    by_term = mine.join(known, ["source_id", "term"]).join(index.docs, list(KEY)).groupBy("term", *KEY).agg(F.sum(part).alias("part"))
-    scores = asked.join(by_term, "term").groupBy("query_id", *KEY).agg(half_up(10 * F.sum("part")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id", "rel_path")
+    scores = _scores_by_rows(index, asked, top)
+    if scores is None:
+        scores = _scores_by_joins(index, asked)
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def _known(index: Index, df: DataFrame) -> DataFrame:
+    return df.join(index.stats, "source_id").where((F.col("n") <= 1) | (F.col("df") < L.NOISE_SHARE * F.col("n")))
+
+
+def _scores_by_joins(index: Index, asked: DataFrame) -> DataFrame:
+    mine = index.postings.join(asked.select("term").distinct(), "term")
+    known = _known(index, mine.groupBy("source_id", "term").agg(F.countDistinct("rel_path").alias("df")))
+    part = field_weight(F.col("field")) * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl")) * F.least(F.lit(L.LEXICAL_MOST), F.sqrt(F.lit(L.WEIGHTS["identifier"]) * F.col("token_weight")))
+    by_term = index.measured(mine.join(known, ["source_id", "term"])).groupBy("term", *KEY).agg(F.sum(part).alias("part"))
+    return asked.join(by_term, "term").groupBy("query_id", *KEY).agg(half_up(10 * F.sum("part")).alias("score"))
+
+
+def _scores_by_rows(index: Index, asked: DataFrame, top: int) -> DataFrame | None:
+    """The best of every few thousand documents, scored where they lie: pairs of query and document are never shuffled. None if there are no such rows or too many queries for it."""
+    if index.rows is None or asked.schema["query_id"].dataType not in (LongType(), IntegerType()):
+        return None
+    pairs = asked.where("query_id is not null").limit(MOST_ASKED + 1).collect()
+    if len(pairs) > MOST_ASKED or len(terms := {p.term for p in pairs}) > MOST_TERMS or len(pairs) < asked.count():
+        return None
+    spark = asked.sparkSession
+    mine = frequencies(index).join(F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+    known = [tuple(r) for r in _known(index, mine).select("source_id", "term", "n", "df", "avgdl").limit(MOST_KNOWN + 1).collect()]
+    if len(known) > MOST_KNOWN:
+        return None
+    fields = np.array([L.FIELD_WEIGHTS[f] for f in counts.FIELDS])
+    lexical, k1, b = min(L.LEXICAL_MOST, L.WEIGHTS["identifier"]), L.K1, L.B
+
+    def part(field, n, df, avgdl, tf, length):
+        return fields[field] * np.log((n - df + 0.5) / (df + 0.5) + 1) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))) * lexical
+
+    return counts.best_of(index.rows, [tuple(p) for p in pairs], known, part, top)
+
+
 def contains(needle: str):
     return lambda text: F.contains(F.lower(text), F.lit(needle))
 
@@ -157,7 +219,7 @@ def legacy_scores(index: Index, entries: DataFrame, query: list[str]) -> DataFra
     asked = F.lit(0)
     for term in query:
         asked = asked + F.when(F.col("term") == term, 1).otherwise(0)
-    rows = body.join(df, ["source_id", "term"]).join(index.docs, list(KEY))
+    rows = index.measured(body.join(df, ["source_id", "term"]))
     bm = rows.groupBy(*KEY).agg(F.sum(asked * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("bm"))
     boost = F.lit(0.0)
     for term in query:
