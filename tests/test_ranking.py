@@ -191,3 +191,10 @@ def test_counted_terms_are_the_expressions_terms(spark):
         own = sorted(p.term for p in got[r.rel_path].found if p.field == "body" for _ in range(p.tf))
         assert own == sorted(r.w) and got[r.rel_path].len == len(r.w)
     assert len(got) == len(said) == 3
+
+
+def test_document_frequencies_shuffle_only_counts(spark):
+    df = bm25.frequencies(index(spark))
+    assert exchanges(df) == 1 and {r.term: r.df for r in df.collect()}["delta"] == 2
+    again = bm25.frequencies(index(spark, [*ROWS, ROWS[1]]))
+    assert {r.term: r.df for r in again.collect()}["delta"] == 2

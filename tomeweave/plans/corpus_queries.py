@@ -78,8 +78,7 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    pairs = listed(spark, d).postings.select("source_id", "term", "rel_path").distinct()
-    return pairs.groupBy("source_id", "term").agg(F.count("*").alias("df"))
+    return bm25.frequencies(listed(spark, d))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
