@@ -198,3 +198,11 @@ def test_document_frequencies_shuffle_only_counts(spark):
     assert exchanges(df) == 1 and {r.term: r.df for r in df.collect()}["delta"] == 2
     again = bm25.frequencies(index(spark, [*ROWS, ROWS[1]]))
     assert {r.term: r.df for r in again.collect()}["delta"] == 2
+
+
+def test_searches_index_the_asked_terms_alone(spark):
+    from tomeweave.plans import keyword_queries
+
+    own = keyword_queries.index(spark, "/root/testdata/sf0.001")
+    assert {r.term for r in own.postings.select("term").distinct().collect()} <= set(keyword_queries.QUERY)
+    assert own.docs.count() == 200 and exchanges(own.postings) == 0
