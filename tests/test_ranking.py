@@ -206,3 +206,12 @@ def test_searches_index_the_asked_terms_alone(spark):
     own = keyword_queries.index(spark, "/root/testdata/sf0.001")
     assert {r.term for r in own.postings.select("term").distinct().collect()} <= set(keyword_queries.QUERY)
     assert own.docs.count() == 200 and exchanges(own.postings) == 0
+
+
+def test_scores_take_lengths_from_the_postings(spark):
+    own = index(spark)
+    wide = bm25.Index(own.docs, own.postings.drop("len"), own.stats)
+    entries = spark.createDataFrame(ROWS, ENTRY)
+    for score in (lambda i: bm25.legacy_scores(i, entries, ["beta", "delta"]), lambda i: bm25.search(i, {"beta": 1.5, "delta": 1.5})):
+        assert score(own)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == score(wide)._jdf.queryExecution().optimizedPlan().toString().count("Join ") - 1
+        assert sorted(map(tuple, score(own).collect())) == sorted(map(tuple, score(wide).collect()))
