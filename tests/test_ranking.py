@@ -215,3 +215,16 @@ def test_scores_take_lengths_from_the_postings(spark):
     for score in (lambda i: bm25.legacy_scores(i, entries, ["beta", "delta"]), lambda i: bm25.search(i, {"beta": 1.5, "delta": 1.5})):
         assert score(own)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == score(wide)._jdf.queryExecution().optimizedPlan().toString().count("Join ") - 1
         assert sorted(map(tuple, score(own).collect())) == sorted(map(tuple, score(wide).collect()))
+
+
+@pytest.mark.parametrize("sources", [1, 3])
+def test_batch_scores_documents_where_they_lie(spark, sources):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i % sources}", f"{i}.md", f"w{i % 7}", [], " ".join(f"w{x}" for x in rng.zipf(1.4, 20) % 40)) for i in range(60)]
+    own = index(spark, rows)
+    queries = spark.createDataFrame([(q, [f"w{x}" for x in rng.integers(0, 45, 6)]) for q in range(300)], "query_id long, terms array<string>")
+    got = bm25.batch(own, queries, 4)
+    assert exchanges(got) == 1
+    want = bm25.batch(bm25.Index(own.docs, own.postings, own.stats), queries, 4)
+    assert exchanges(want) > 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 1000
