@@ -220,3 +220,18 @@ def test_analysed_fields(spark):
     got = {(r.field, r.term): (r.tf, r.positions, r.sources) for r in index.postings.collect()}
     assert got["body", "foo_bar"] == (1, [1], ["identifier"]) and got["body", "foo"][0] == 1 and ("tags", "tag") in got and ("path", "b") not in got
     assert index.docs.first().len == len(analyze.Analyser()("[a > b]\ntext foo_bar 失败"))
+
+
+def test_sections_hold_few_chunks_at_once(spark):
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    entries = MagicMock()
+    chunk.sections(entries)
+    chosen = entries.select.return_value
+    (parse, _), = [c.args for c in (*chosen.mapInArrow.call_args_list, *chosen.mapInPandas.call_args_list)]
+    text = "\n".join("## head\nsome words of a text" for _ in range(12_000))
+    rows = pa.RecordBatch.from_pydict({"source_id": ["s"] * 9, "rel_path": [f"{i}.md" for i in range(9)], "title": ["t"] * 9, "content": [text] * 8 + [None]})
+    got = list(parse(iter([rows])))
+    assert max(x.num_rows for x in got) < 50_000 and sum(x.num_rows for x in got) == 8 * 12_001 + 1
