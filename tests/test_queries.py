@@ -48,3 +48,15 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.stdout.split() == [str(len(QUERIES)), str(len(SQL))], done.stderr
+
+
+def test_sections_of_odd_texts(spark, tmp_path):
+    """Empty and missing texts, blank lines, blanks and marks that end a line."""
+    texts = ["", None, "one\ntwo\nthree\n", "one\n\ntwo\nthree", "one\ntwo\n\nfour\nfive\n", "one \ntwo\nthree ", "one ##\ntwo #\nthree", "\none", " \n \n ", "a\r\nb\r\nc\r\nd", "a\nb\n***\nc", "a\nb\n<b>\nc", "\n" * 24]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("sections", "chunk_type_hint"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(f"select {', '.join(df.columns)} from ({SQL[name]})").fetchall()))

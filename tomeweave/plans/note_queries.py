@@ -42,7 +42,7 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
         code = F.when((i % 3 == 2) & (F.floor(i / 3) % 7 == 5), F.concat(F.lit("```\n"), x, F.lit("\n```")))
         return F.when(i % 3 == 0, head).otherwise(F.coalesce(task, code, x))
 
-    return entries(documents(spark, d)).withColumn("content", F.array_join(F.transform(F.split("content", "\n"), line), "\n"))
+    return entries(documents(spark, d)).where("content is not null").withColumn("content", F.array_join(F.transform(F.split("content", "\n"), line), "\n"))
 
 
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ def chunk_types(spark: SparkSession, d: str) -> DataFrame:
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by block structure: code stands apart, heading paths go by level."""
-    rows = chunk.sections(typed(spark, d))
+    rows = chunk.sections(typed(spark, d), written=True)
     return rows.select("source_id", "rel_path", "chunk_index", "heading", "level", F.array_join("heading_path", " > ").alias("path"), "start_line", "end_line", F.md5("raw_text").alias("md5"))
 
 
